@@ -25,8 +25,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; kept for later calls."""
     had = _tables.get(base)
     if had is None or len(had[0]) < n:
-        n = max(n, 1 << 16)
-        up, down = np.full(n, base, U), np.full(n, pow(base, -1, 1 << 64), U)
+        room = max(n, 1 << 16)
+        up, down = np.full(room, base, U), np.full(room, pow(base, -1, 1 << 64), U)
         up[0] = down[0] = 1
         had = _tables[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return had[0][:n], had[1][:n]

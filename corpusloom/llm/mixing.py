@@ -31,8 +31,8 @@ def source_rates(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
         .withColumn("__all", F.sum("source_size").over(every))
         .withColumn("__level", (F.col("__all") - F.col("__before")) / F.col("__rest"))
     )
-    # The first k in ratio order has the least level among those that hold.
-    share = F.min(F.when(F.col("__level") <= most / F.col("__w"), F.col("__level"))).over(every)
+    # From the first k that holds on, levels only fall: it has the highest level of those that hold.
+    share = F.max(F.when(F.col("__level") <= most / F.col("__w"), F.col("__level"))).over(every)
     target = F.least(most.cast("double"), F.col("__w") * F.coalesce(F.col("__level_1"), F.lit(0.0)))
     return filled.withColumn("__level_1", share).select(
         "source", "source_size", target.alias("target"), F.coalesce(F.try_divide(target, F.col("source_size")), F.lit(0.0)).alias("rate")
@@ -86,7 +86,7 @@ f as (select *, 3 * source_size / weight as ratio,
         (sum(3 * source_size) over up)::bigint - 3 * source_size as stopped,
         (sum(weight) over ())::bigint - (sum(weight) over up)::bigint + weight as rest
       from w window up as (order by 3 * source_size / weight, k rows unbounded preceding)),
-l as (select min((total - stopped) / rest) as level from f where (total - stopped) / rest <= ratio),
+l as (select max((total - stopped) / rest) as level from f where (total - stopped) / rest <= ratio),
 t as (select source, source_size, least((3 * source_size)::double, weight * level) as target from f, l),
 r as (select d.doc_id, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) as rate
       from d join t on d.source is not distinct from t.source)

@@ -1,14 +1,12 @@
-"""What the operators share: tables in the cluster's shared folder and plain expressions."""
+"""Expressions and joins that the operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.plans.tables import stage  # noqa: F401  the operators take it from here
+
 #: Tables of one row per source (host) are broadcast up to so many rows, some 10 MB.
 BROADCAST_ROWS = 100_000
 #: Beyond that, a source's rows are dealt over so many keys.
@@ -17,52 +15,6 @@ SALTS = 64
 #: White space that parts words, as a Java regular expression's class.
 SPACES = r"[\x20\x09-\x0D]"
 
-_made: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (local tests) a folder of this process stands in.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if "dir" not in _own:
-        _own["dir"] = tempfile.mkdtemp(prefix="corpusloom-")
-    return "file://" + _own["dir"]
-
-
-def stage(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs a reread, not the work before.
-    The driver then drops its garbage, so that shuffle files of the work before
-    go from the executors' disks. Tables are removed when the process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    _made.append((spark, path))
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_staged() -> None:
-    """Deletes the tables that :func:`stage` wrote; results that read them end."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone at the process's end
-            pass
-
-
-atexit.register(remove_staged)
-
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space and ``\\t`` to ``\\r``; null: 0."""
