@@ -1 +1 @@
-"""Plans of the engine."""
+"""The queries over the engine's operators."""

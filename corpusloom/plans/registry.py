@@ -15,3 +15,14 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | N
     QUERIES[name] = query
     if sql:
         SQL[name] = sql
+
+
+def load() -> None:
+    """Fills the registry from the query modules."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"corpusloom.plans.{name}")
+
+
+MODULES = ("q_text",)
