@@ -76,14 +76,18 @@ def blocked_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, "gram").filter("left < right").groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def tfidf(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: int | None = None, sublinear: bool = False) -> DataFrame:
-    """(id, gram, w): term frequency times smooth idf, each text's vector of length one."""
+def tfidf(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: int | None = None, sublinear: bool = False, of: DataFrame | None = None) -> DataFrame:
+    """(id, gram, w): term frequency times smooth idf, each text's vector of length one.
+
+    ``counts`` gives the document frequencies; with ``of``, the counts of some of
+    the texts, only these get vectors. The vectors are a staged table.
+    """
     df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     if max_df is not None:
         df = df.filter(F.col("df") <= max_df)
     idf = df.select("gram", (F.ln((1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = 1 + F.ln("n") if sublinear else F.col("n").cast("double")
-    raw = counts.join(idf, "gram").select("id", "gram", (tf * F.col("idf")).alias("w"))
+    raw = stage((counts if of is None else of).join(idf, "gram").select("id", "gram", (tf * F.col("idf")).alias("w")), "term-weights")
     length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return raw.join(length, "id").select("id", "gram", (F.col("w") / F.col("length")).alias("w"))
 
@@ -122,7 +126,8 @@ def near_pairs(texts: DataFrame, threshold_ppm: int = 800_000, min_ratio_ppm: in
     size = texts.select("id", F.length("text").alias("c"))
     sized = pairs.join(size.withColumnRenamed("id", "left").withColumnRenamed("c", "cl"), "left").join(size.withColumnRenamed("id", "right").withColumnRenamed("c", "cr"), "right")
     sized = stage(sized.select("left", "right", "shared", length_ratio_ppm(F.col("cl"), F.col("cr")).alias("length_ratio_ppm")).filter(F.col("length_ratio_ppm") >= min_ratio_ppm), "sized-pairs")
-    weights = tfidf(gram_counts(long_enough), n, 2, max(2, int(max_df_ratio * n)), sublinear=True)
+    paired = stage(sized.select(F.col("left").alias("id")).union(sized.select("right")).distinct(), "paired")
+    weights = tfidf(gram_counts(long_enough), n, 2, max(2, int(max_df_ratio * n)), sublinear=True, of=gram_counts(long_enough.join(paired, "id", "left_semi")))
     scored = pair_cosines(sized, weights).withColumn("similarity_ppm", similarity_ppm(F.col("similarity")))
     return scored.filter(F.col("similarity_ppm") >= threshold_ppm).drop("similarity").join(sized, ["left", "right"])
 
@@ -136,7 +141,7 @@ def all_pairs(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     by falling rarity, a pair at the threshold shares one within it.
     """
     n = texts.count()
-    weights = stage(tfidf(gram_counts(texts), n), "weights")
+    weights = tfidf(stage(gram_counts(texts), "gram-counts"), n)
     df = weights.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy("id").orderBy("df", "gram")
     # What the terms from here on weigh together bounds the cosine that they can still add.

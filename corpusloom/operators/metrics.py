@@ -178,7 +178,7 @@ def _beta_cdf(x: float, a: float, b: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-15:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def clopper_pearson(events: int, n: int, confidence: float = 0.95, side: str = "upper") -> float | None:
