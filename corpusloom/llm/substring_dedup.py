@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .kernel import U, Words, slices
 from .shared import stage
 
-#: Bytes of text in a chunk (a longer text is a chunk of its own), and words per bucket.
-CHUNK_BYTES, BUCKET_WORDS = 3 << 19, 4_000_000
+#: Bytes of text in a chunk (a longer text is a chunk of its own), and words per bucket; a task holds one of either at a time.
+CHUNK_BYTES, BUCKET_WORDS = 1 << 20, 1_000_000
 _FINGER = 30
 _NULL_ID = np.iinfo(np.int64).max
 
@@ -128,59 +128,63 @@ def _unpack(answers: dict[int, bytes], buckets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answer(rows: list[tuple[int, int]], lengths: list[int], flags: np.ndarray, kind: int):
+def _answer(bucket: int, chunks: list[int], lengths: list[int], flags: np.ndarray, kind: int):
     out, at = [], 0
-    for (bucket, chunk), n in zip(rows, lengths):
+    for chunk, n in zip(chunks, lengths):
         own = flags[at : at + n]
         at += n
         if own.any():
-            out.append((chunk, kind, bucket, np.packbits(own).tobytes()))
-    for lo in range(0, len(out), 1000):
-        yield pa.RecordBatch.from_pylist([dict(zip(("chunk", "kind", "bucket", "bits"), x)) for x in out[lo : lo + 1000]], schema=_ANSWERS)
+            out.append({"chunk": chunk, "kind": kind, "bucket": bucket, "bits": np.packbits(own).tobytes()})
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_ANSWERS)
 
 
 _ANSWERS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("bits", pa.binary())])
 _ANSWER_DDL = "chunk bigint, kind int, bucket bigint, bits binary"
 
 
+def _by_bucket(batches, *columns: tuple[str, np.dtype]):
+    """The rows of one bucket at a time (they come sorted): bucket, chunks and an array per row and column."""
+    bucket, chunks, held = None, [], [[] for _ in columns]
+    for batch in batches:
+        at = batch.column("bucket").to_numpy()
+        chunk = batch.column("chunk").to_numpy()
+        for i in range(len(at)):
+            if at[i] != bucket:
+                if chunks:
+                    yield bucket, chunks, held
+                bucket, chunks, held = int(at[i]), [], [[] for _ in columns]
+            chunks.append(int(chunk[i]))
+            for own, (name, kind) in zip(held, columns):
+                own.append(np.frombuffer(batch.column(name)[i].as_buffer(), kind))
+    if chunks:
+        yield bucket, chunks, held
+
+
 def _meet_blocks(batches):
     """Which of the chunks' fingerprints meet a reference block of another place."""
-    rows, entries = [], []
-    for batch in batches:
-        for x in batch.to_pylist():
-            rows.append((x["bucket"], x["chunk"]))
-            entries.append(np.frombuffer(x["entries"], np.uint32))
-    if not rows:
-        return
-    lengths = [len(x) for x in entries]
-    entries = np.concatenate(entries)
-    key = (np.repeat(np.array([b for b, _ in rows], U), lengths) << U(_FINGER)) | (entries >> 2).astype(U)
-    order = np.argsort(key)
-    cuts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    again = np.add.reduceat((entries[order] & 1).astype(np.int64) + 1, cuts) > 1
-    block = np.bitwise_or.reduceat(entries[order], cuts) & 2 > 0
-    flags = np.empty(len(key), bool)
-    flags[order] = np.repeat(again & block, np.diff(np.append(cuts, len(key))))
-    yield from _answer(rows, lengths, flags, 0)
+    for bucket, chunks, (entries,) in _by_bucket(batches, ("entries", np.uint32)):
+        lengths = [len(x) for x in entries]
+        entries = np.concatenate(entries)
+        order = np.argsort(entries >> 2)
+        key, sorted_ = (entries >> 2)[order], entries[order]
+        cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        again = np.add.reduceat((sorted_ & 1).astype(np.int64) + 1, cuts) > 1
+        block = np.bitwise_or.reduceat(sorted_, cuts) & 2 > 0
+        flags = np.empty(len(key), bool)
+        flags[order] = np.repeat(again & block, np.diff(np.append(cuts, len(key))))
+        yield from _answer(bucket, chunks, lengths, flags, 0)
 
 
 def _meet_windows(batches):
     """Which of the chunks' windows have their first place in another chunk."""
-    rows, hashes, ids = [], [], []
-    for batch in batches:
-        for x in batch.to_pylist():
-            rows.append((x["bucket"], x["chunk"]))
-            hashes.append(np.frombuffer(x["hashes"], U))
-            ids.append(np.frombuffer(x["firsts"], np.int64))
-    if not rows:
-        return
-    lengths = [len(x) for x in hashes]
-    hashes, ids = np.concatenate(hashes), np.concatenate(ids)
-    chunk = np.repeat(np.array([c for _, c in rows], np.int64), lengths)
-    order = np.lexsort((chunk, ids, hashes))
-    flags = np.empty(len(order), bool)
-    flags[order] = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]])
-    yield from _answer(rows, lengths, flags, 1)
+    for bucket, chunks, (hashes, ids) in _by_bucket(batches, ("hashes", U), ("firsts", np.int64)):
+        lengths = [len(x) for x in hashes]
+        hashes, ids = np.concatenate(hashes), np.concatenate(ids)
+        order = np.lexsort((np.repeat(np.array(chunks, np.int64), lengths), ids, hashes))
+        flags = np.empty(len(order), bool)
+        flags[order] = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]])
+        yield from _answer(bucket, chunks, lengths, flags, 1)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -199,7 +203,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chunks = stage(rows.mapInArrow(_pack, "chunk bigint, words bigint, ids array<bigint>, lengths array<bigint>, blob binary"), "substring-chunks", "none")
     words = chunks.agg(F.sum("words")).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(1, words / BUCKET_WORDS))))
+    bits = max(7, math.ceil(math.log2(max(1, words / BUCKET_WORDS))))
 
     def probe(batches):
         for batch in batches:
@@ -222,11 +226,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
                 gone = chunk.removed(*[{x["bucket"]: x["bits"] for x in answers if x["kind"] == k} for k in (0, 1)]) if answers else np.zeros(len(chunk.words.hash), bool)
                 yield _kept(chunk, gone, keep_text)
 
-    entries = chunks.mapInArrow(probe, "bucket bigint, chunk bigint, entries binary").repartition(1 << bits, "bucket")
+    entries = chunks.mapInArrow(probe, "bucket bigint, chunk bigint, entries binary").repartition(1 << max(6, bits - 2), "bucket").sortWithinPartitions("bucket")
     hits = stage(entries.mapInArrow(_meet_blocks, _ANSWER_DDL), "substring-hits")
     per_chunk = F.collect_list(F.struct("kind", "bucket", "bits")).alias("answers")  # a bit per distinct run of one chunk
     firsts = chunks.join(hits.groupBy("chunk").agg(per_chunk), "chunk").mapInArrow(extend, "bucket bigint, chunk bigint, hashes binary, firsts binary")
-    later = stage(firsts.repartition(1 << bits, "bucket").mapInArrow(_meet_windows, _ANSWER_DDL), "substring-later")
+    later = stage(firsts.repartition(1 << max(6, bits - 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_windows, _ANSWER_DDL), "substring-later")
     answered = chunks.join(hits.union(later).groupBy("chunk").agg(per_chunk), "chunk", "left")
     spans = "removed array<struct<start:bigint,end:bigint>>"
     return answered.mapInArrow(drop, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, {spans}" + (", kept_text string" if keep_text else ""))
