@@ -251,6 +251,13 @@ def test_langid_odd(spark, docs, odd, none):
     assert langid.identify(none, model).count() == 0 and langid.identify(odd, model).count() == odd.count()
 
 
+def test_langid_unlearned(odd, none):
+    assert langid.fit(none, F.lit(True)) == b""
+    assert {(r.lang_pred, r.score) for r in langid.identify(odd, b"").collect()} == {("und", 0.0)}
+    single = langid.fit(odd.filter("doc_id = 1"), F.lit(True))
+    assert {r.lang_pred for r in langid.identify(odd.filter("doc_id = 8"), single).collect()} == {"en"}
+
+
 def test_langid_models():
     """The probabilities of all characters after a context sum to one, seen or not."""
     models = langid.Models({"a": {"   x": 3, "  xy": 2, " xyx": 1, "xyxy": 4}, "b": {"   y": 5, "  yz": 1}})
