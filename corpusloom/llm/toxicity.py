@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .shared import stage
 
 #: Labelled rows used for fitting (about), features for each category, folds, and the least number of texts with a feature.
-SAMPLE, FEATURES, FOLDS, LEAST = 20_000, 600, 5, 5
+SAMPLE, FEATURES, FOLDS, LEAST = 10_000, 400, 5, 5
 CACHE = 300_000
 #: Stripped from both ends of a word.
 MARKS = ".,;:!?#$%&*|<>()[]{}\"'"
@@ -51,24 +51,25 @@ def features(text: str | None, cache: _Parts) -> set:
     return set().union(*map(cache.__getitem__, set((text or "").lower().split())))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
     """Logistic regression by accelerated gradient steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1])
-    # An upper bound of the curvature by power iteration gives the step.
-    v = np.ones(x.shape[1])
-    for _ in range(20):
+    y = y.astype(np.float32)
+    # Power iteration for the largest curvature gives the step.
+    v = np.ones(x.shape[1], np.float32)
+    for _ in range(10):
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v) or 1
-    step = 1 / (np.linalg.norm(x.T @ (x @ v)) / (4 * len(x)) + penalty)
-    seen, old = w.copy(), w.copy()
+    step = np.float32(1 / (1.1 * np.linalg.norm(x.T @ (x @ v)) / (4 * len(x)) + penalty))
+    old = seen = np.zeros(x.shape[1], np.float32)
+    keep = np.full(x.shape[1], penalty, np.float32)
+    keep[-1] = 0
     for k in range(rounds):
         p = 1 / (1 + np.exp(-(x @ seen)))
-        grad = x.T @ (p - y) / len(x) + penalty * np.append(seen[:-1], 0)
-        w = seen - step * grad
-        seen = w + k / (k + 3) * (w - old)
+        w = seen - step * (x.T @ (p - y) / np.float32(len(x)) + keep * seen)
+        seen = w + np.float32(k / (k + 3)) * (w - old)
         old = w
-    return w
+    return old
 
 
 def _predict(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -190,7 +191,7 @@ def judge(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             found = [features(t, cache) for t in batch.column(1).to_pylist()]
             p = [model.predict(model.matrix(found[lo : lo + 1000])) for lo in range(0, len(found), 1000)]
             p = np.concatenate(p) if p else np.zeros((0, len(categories)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, k]) for k in range(len(categories))]], [batch.schema.names[0], *out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(p[:, k].astype(float)) for k in range(len(categories))]], [batch.schema.names[0], *out])
 
     first = rows.schema[0]
     schema = type(rows.schema)([first]).add(out[0], "double")
