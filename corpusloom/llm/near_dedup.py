@@ -10,13 +10,17 @@ pairs far below it part soon. Every ``STEP`` levels the nodes are counted:
 * in every node each text meets the node's head (its least class), which ties
   large groups of copies together with one pair a member;
 * a node of up to ``LEAF`` texts is compared exhaustively, without pairs that
-  are already tied;
-* a larger node whose texts are not all tied yet is branched further, ``AGAIN``
-  times independently.
+  are already tied; what is found are pairs of tied groups that may be linked;
+* in a larger node with up to ``LEAF`` texts outside its largest tied group,
+  the groups of these are held against the largest one;
+* any other node whose texts are not all tied yet is branched further.
 
 A pair is compared by a 128-bit sketch of the same tokens first. What passes is
-confirmed on the full sets, computed from the whole texts. Texts with equal
-sets are one class from the start. The number of trees follows from the recall.
+confirmed on the full sets, computed from the whole texts: heads one by one,
+groups in blocks, the smaller group against each block of the larger one, so
+that neither the pairs of a crowd become rows nor a crowd meets in one task.
+Texts with equal sets are one class from the start. The number of trees follows
+from the recall.
 """
 
 from __future__ import annotations
@@ -34,13 +38,13 @@ from corpusloom.operators.components import connected_components
 from .kernel import U, Words, mix, slices
 from .shared import stage
 
-COORDINATES, STEP, LEAF, AGAIN = 128, 4, 64, 4
+COORDINATES, STEP, LEAF, BLOCK = 128, 4, 4096, 500
 #: After so many rounds of branching the nodes that are left are compared exhaustively, whatever their size.
 ROUNDS = 8
 #: Key sets of up to so many numbers (some MB) are broadcast; larger ones are shuffled.
 BROADCAST_KEYS = 200_000
-#: Bits of the sketch that must agree. At a similarity of 0.8, 115 of 128 do on average; 95 is 5.9 deviations below.
-AGREE = 95
+#: Bits of the sketch that must agree. At a similarity of 0.8, 115 of 128 do on average; 101 is 4.2 deviations below.
+AGREE = 101
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
@@ -101,13 +105,13 @@ def _tokens(column: pa.Array) -> np.ndarray:
 
 
 def _pair_leaves(batches):
-    """All pairs of a node (rows are sorted by node) that are not tied and whose sketches agree."""
+    """Pairs of tied groups that texts of one node (rows are sorted by node) belong to whose sketches agree."""
     left: list[pa.RecordBatch] = []
 
     def pairs(rows: pa.Table):
-        node, own, tie = (rows.column(c).to_numpy() for c in ("node", "class", "tie"))
+        node, tie = (rows.column(c).to_numpy() for c in ("node", "tie"))
         s0, s1 = (rows.column(c).to_numpy().view(U) for c in ("s0", "s1"))
-        lo, hi = [], []
+        found = [np.zeros((0, 2), np.int64)]
         for d in range(1, len(node)):
             same = np.flatnonzero(node[d:] == node[:-d])
             if not len(same):
@@ -115,10 +119,10 @@ def _pair_leaves(batches):
             same = same[tie[same] != tie[same + d]]
             agree = COORDINATES - np.bitwise_count(s0[same] ^ s0[same + d]).astype(int) - np.bitwise_count(s1[same] ^ s1[same + d])
             same = same[agree >= AGREE]
-            lo.append(own[same])
-            hi.append(own[same + d])
-        lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lo, hi))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(lo, hi)), pa.array(np.maximum(lo, hi))], ["a", "b"])
+            if len(same):
+                found.append(np.unique(np.sort(np.stack([tie[same], tie[same + d]], axis=1), axis=1), axis=0))
+        out = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
     for batch in batches:
         left.append(batch)
@@ -176,9 +180,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
         for batch in batches:
             tokens = _tokens(batch.column("tokens"))
             node = batch.column("node").to_numpy().view(U)
-            for k in range(1, AGAIN + 1):
-                keys, rows = branch(mix(node + U(k)), tokens, STEP)
-                yield _nodes(keys, rows, [batch.column(c) for c in ("class", "s0", "s1")])
+            yield _nodes(*branch(node, tokens, STEP), [batch.column(c) for c in ("class", "s0", "s1")])
+
+    def set_of(batch: pa.RecordBatch, k: int, side: str = "") -> np.ndarray:
+        size = batch.column("size" + side)[k].as_py()
+        raw = pa.decompress(batch.column("blob" + side)[k].as_py(), size, "zstd", asbytes=True)
+        return next(shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, size]), shingle))
 
     def confirm(batches):
         last: tuple[int | None, np.ndarray | None] = (None, None)
@@ -186,20 +193,41 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for k in range(len(a)):
-                sets = []
-                for side, own in (("a", a[k]), ("b", b[k])):
-                    if side == "a" and last[0] == own:
-                        sets.append(last[1])
-                        continue
-                    size = batch.column(f"size_{side}")[k].as_py()
-                    raw = pa.decompress(batch.column(f"blob_{side}")[k].as_py(), size, "zstd", asbytes=True)
-                    sets.append(next(shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, size]), shingle)))
-                last = a[k], sets[0]
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
+                if last[0] != a[k]:
+                    last = a[k], set_of(batch, k, "_a")
+                other = set_of(batch, k, "_b")
+                both = len(np.intersect1d(last[1], other, assume_unique=True))
+                if 100 * both >= percent * (len(last[1]) + len(other) - both):
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
+    def confirm_blocks(batches):
+        """Rows come by (group, block), the block's own texts first; each other text is held against all of them."""
+        at, names, sets, flat, starts = None, [], [], None, None
+        for batch in batches:
+            keys = list(zip(batch.column("group").to_pylist(), batch.column("block").to_pylist()))
+            asks, own = batch.column("asks").to_pylist(), batch.column("class").to_pylist()
+            a, b = [], []
+            for k in range(len(keys)):
+                if keys[k] != at:
+                    at, names, sets, flat = keys[k], [], [], None
+                found = set_of(batch, k)
+                if not asks[k]:
+                    names.append(own[k])
+                    sets.append(found)
+                    continue
+                if flat is None and sets:
+                    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                if sets:
+                    place = np.minimum(np.searchsorted(found, flat), len(found) - 1)
+                    both = np.add.reduceat((found[place] == flat).astype(np.int64), starts)
+                    hits = np.flatnonzero(100 * both >= percent * (len(found) + sizes - both))
+                    if len(hits):  # one link ties the text to the group
+                        a.append(own[k])
+                        b.append(names[hits[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, class bigint, tokens binary, s0 bigint, s1 bigint, size bigint, blob binary")
     texts = stage(described.withColumn("row", F.monotonically_increasing_id()), "near-texts")
@@ -207,41 +235,68 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
     leads = stage(texts.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row").alias("row")), "near-classes")
 
     def leading(rows: DataFrame, *columns: str) -> DataFrame:
-        """Columns of the rows of ``texts`` that the given leads name."""
+        """Columns of the rows of ``texts`` that the given leads name, with what else is said of them."""
         few = rows.count() <= BROADCAST_KEYS
-        return texts.select("row", *columns).join(F.broadcast(rows) if few else rows, "row", "left_semi").drop("row")
+        return texts.select("row", *columns).join(F.broadcast(rows) if few else rows, "row").drop("row")
 
     node_ddl = "node bigint, class bigint, s0 bigint, s1 bigint"
-    signed = stage(leading(leads.select("row"), "class", "tokens", "s0", "s1"), "near-signed")
+    signed = stage(texts.select("row", "class", "tokens", "s0", "s1").join(leads.select("row"), "row", "left_semi").drop("row"), "near-signed")
     nodes = stage(signed.mapInArrow(plant, node_ddl), "near-nodes")
-    tested, links, ties = None, None, None
+    links, ties = None, None
+
+    def tie(sure: DataFrame) -> None:
+        nonlocal links, ties
+        sure = stage(sure, "near-links")
+        if links is not None and sure.isEmpty():
+            return
+        links = sure if links is None else links.union(sure)
+        ties = stage(connected_components(links, "a", "b"), "near-ties")
 
     def settle(pairs: DataFrame) -> None:
-        """Confirms new pairs on the full sets and ties what they link."""
-        nonlocal tested, links, ties
-        pairs = stage(pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
+        """Confirms pairs of classes on the full sets and ties what they link."""
+        pairs = stage(pairs.distinct(), "near-pairs")
         needed = stage(leads.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class", "left_semi").select("row"), "near-needed")
         blobs = stage(leading(needed, "class", "size", "blob"), "near-blobs", "none")
         side = lambda s: blobs.select(F.col("class").alias(s), F.col("size").alias(f"size_{s}"), F.col("blob").alias(f"blob_{s}"))
-        sure = stage(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "blob_a", "size_b", "blob_b").mapInArrow(confirm, "a bigint, b bigint"), "near-links")
-        links = sure if links is None else links.union(sure)
-        ties = stage(connected_components(links, "a", "b"), "near-ties")
+        tie(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "blob_a", "size_b", "blob_b").mapInArrow(confirm, "a bigint, b bigint"))
+
+    def settle_groups(pairs: DataFrame) -> None:
+        """Confirms pairs of tied groups: the texts of the smaller against blocks of the larger."""
+        pairs = stage(pairs.distinct(), "near-group-pairs")
+        wanted = pairs.select(F.col("a").alias("tie")).union(pairs.select("b")).distinct()
+        member = leads.select("class", "row").join(ties.select(F.col("vertex").alias("class"), "component"), "class", "left")
+        member = member.select("row", F.coalesce("component", "class").alias("tie")).join(wanted, "tie", "left_semi")
+        blobs = stage(leading(stage(member, "near-needed"), "class", "size", "blob"), "near-blobs", "none")
+        many = stage(blobs.groupBy("tie").agg(F.count(F.lit(1)).alias("m")), "near-sizes")
+        sized = pairs.join(many.select(F.col("tie").alias("a"), F.col("m").alias("ma")), "a").join(many.select(F.col("tie").alias("b"), F.col("m").alias("mb")), "b")
+        up = F.struct(F.col("ma"), F.col("a")) <= F.struct(F.col("mb"), F.col("b"))
+        asked = sized.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("asker"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("group"), F.ceil(F.greatest("ma", "mb") / BLOCK).cast("int").alias("blocks"))
+        asked = stage(asked, "near-asked")
+        held = blobs.join(asked.select(F.col("group").alias("tie"), "blocks").distinct(), "tie")
+        held = held.select(F.col("tie").alias("group"), F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "class", "size", "blob")
+        asks = blobs.withColumnRenamed("tie", "asker").join(asked, "asker").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        asks = asks.select("group", "block", F.lit(True).alias("asks"), "class", "size", "blob")
+        tie(held.union(asks).repartition("group", "block").sortWithinPartitions("group", "block", "asks").mapInArrow(confirm_blocks, "a bigint, b bigint"))
 
     for turn in range(ROUNDS + 1):
         heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("head"), F.min_by("s0", "class").alias("h0"), F.min_by("s1", "class").alias("h1")).filter("n > 1")
         # A node's texts in a row each, with its head; texts that reach it twice count once.
         crowded = stage(nodes.join(heads, "node"), "near-crowded")
         agree = F.lit(COORDINATES) - F.bit_count(F.col("s0").bitwiseXOR(F.col("h0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("h1")))
-        settle(crowded.filter((F.col("head") != F.col("class")) & (agree >= AGREE)).select(F.col("head").alias("a"), F.col("class").alias("b")))
+        settle(crowded.filter((F.col("head") != F.col("class")) & (agree >= AGREE)).select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")))
         tied = crowded.join(ties.select(F.col("vertex").alias("class"), F.col("component").alias("tie")), "class", "left").withColumn("tie", F.coalesce("tie", "class"))
-        open_ = tied.groupBy("node").agg((F.min("tie") != F.max("tie")).alias("open"), F.count(F.lit(1)).alias("m")).filter("open")
+        groups = tied.groupBy("node", "tie").agg(F.count(F.lit(1)).alias("c"))
+        shape = groups.groupBy("node").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("tie", "c").alias("main"), F.count(F.lit(1)).alias("ties"))
+        shape = stage(shape.filter("ties > 1").select("node", "m", "main", (F.col("m") - F.col("most")).alias("others")), "near-shape")
         last = turn == ROUNDS
-        leaves = tied.join(open_.filter(F.lit(last) | (F.col("m") <= LEAF)).select("node"), "node", "left_semi").select("node", "class", "tie", "s0", "s1")
-        settle(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_pair_leaves, "a bigint, b bigint"))
+        small, beside = (F.col("m") <= LEAF) | F.lit(last), F.col("others") <= LEAF
+        leaves = tied.join(shape.filter(small).select("node"), "node", "left_semi").select("node", "tie", "s0", "s1")
+        pairs = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_pair_leaves, "a bigint, b bigint")
+        beyond = groups.join(shape.filter(~small & beside).select("node", "main"), "node").filter("tie <> main")
+        settle_groups(pairs.union(beyond.select(F.least("tie", "main").alias("a"), F.greatest("tie", "main").alias("b"))))
         if last:
             break
-        large = stage(tied.join(open_.filter(F.col("m") > LEAF).select("node"), "node", "left_semi").select("node", "class").distinct(), "near-large")
+        large = stage(tied.join(shape.filter(~small & ~beside).select("node"), "node", "left_semi").select("node", "class").distinct(), "near-large")
         if large.isEmpty():
             break
         grown = large.join(signed, "class").select("node", "class", "tokens", "s0", "s1")
