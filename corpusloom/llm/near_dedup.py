@@ -43,6 +43,8 @@ COORDINATES, STEP, LEAF, BLOCK = 128, 4, 4096, 500
 ROUNDS = 8
 #: Key sets of up to so many numbers (some MB) are broadcast; larger ones are shuffled.
 BROADCAST_KEYS = 200_000
+#: Pairs that a task holds to name each once, some 16 MB.
+HELD = 1_000_000
 #: Bits of the sketch that must agree. At a similarity of 0.8, 115 of 128 do on average; 101 is 4.2 deviations below.
 AGREE = 101
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -105,8 +107,12 @@ def _tokens(column: pa.Array) -> np.ndarray:
 
 
 def _pair_leaves(batches):
-    """Pairs of tied groups that texts of one node (rows are sorted by node) belong to whose sketches agree."""
+    """Pairs of tied groups that texts of one node (rows are sorted by node) belong to whose sketches agree.
+
+    The nodes of one main group come to one task, which names a pair once for all of them.
+    """
     left: list[pa.RecordBatch] = []
+    held = np.zeros((0, 2), np.int64)
 
     def pairs(rows: pa.Table):
         node, tie = (rows.column(c).to_numpy() for c in ("node", "tie"))
@@ -121,19 +127,25 @@ def _pair_leaves(batches):
             same = same[agree >= AGREE]
             if len(same):
                 found.append(np.unique(np.sort(np.stack([tie[same], tie[same + d]], axis=1), axis=1), axis=0))
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+        return np.unique(np.concatenate([held, *found]), axis=0)
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
 
     for batch in batches:
         left.append(batch)
         rows = pa.Table.from_batches(left)
         node = rows.column("node").to_numpy()
-        cut = int(np.searchsorted(node, node[-1])) if len(node) else 0  # the last node may go on
+        cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if len(node) and (node != node[-1]).any() else 0  # the last node may go on
         if cut:
-            yield pairs(rows.slice(0, cut))
+            held = pairs(rows.slice(0, cut))
             left = rows.slice(cut).to_batches()
+        if len(held) > HELD:
+            yield told()
+            held = held[:0]
     if left:
-        yield pairs(pa.Table.from_batches(left))
+        held = pairs(pa.Table.from_batches(left))
+    yield told()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,8 +302,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
         shape = stage(shape.filter("ties > 1").select("node", "m", "main", (F.col("m") - F.col("most")).alias("others")), "near-shape")
         last = turn == ROUNDS
         small, beside = (F.col("m") <= LEAF) | F.lit(last), F.col("others") <= LEAF
-        leaves = tied.join(shape.filter(small).select("node"), "node", "left_semi").select("node", "tie", "s0", "s1")
-        pairs = leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_pair_leaves, "a bigint, b bigint")
+        leaves = tied.join(shape.filter(small).select("node", "main"), "node").select("node", "main", "tie", "s0", "s1")
+        pairs = leaves.repartition("main").sortWithinPartitions("main", "node").mapInArrow(_pair_leaves, "a bigint, b bigint")
         beyond = groups.join(shape.filter(~small & beside).select("node", "main"), "node").filter("tie <> main")
         settle_groups(pairs.union(beyond.select(F.least("tie", "main").alias("a"), F.greatest("tie", "main").alias("b"))))
         if last:
