@@ -12,7 +12,7 @@ pairs far below it part soon. Every ``STEP`` levels the nodes are counted:
 * a node of up to ``LEAF`` texts is compared exhaustively, without pairs that
   are already tied; what is found are pairs of tied groups that may be linked;
 * in a larger node with up to ``LEAF`` texts outside its largest tied group,
-  the groups of these are held against the largest one;
+  these are compared exhaustively, and their groups held against the largest one;
 * any other node whose texts are not all tied yet is branched further.
 
 A pair is compared by a 128-bit sketch of the same tokens first. What passes is
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators.components import connected_components
 
 from .kernel import U, Words, mix, slices
-from .shared import stage
+from .shared import SALTS, stage
 
 COORDINATES, STEP, LEAF, BLOCK = 128, 4, 4096, 500
 #: After so many rounds of branching the nodes that are left are compared exhaustively, whatever their size.
@@ -302,8 +302,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
         shape = stage(shape.filter("ties > 1").select("node", "m", "main", (F.col("m") - F.col("most")).alias("others")), "near-shape")
         last = turn == ROUNDS
         small, beside = (F.col("m") <= LEAF) | F.lit(last), F.col("others") <= LEAF
-        leaves = tied.join(shape.filter(small).select("node", "main"), "node").select("node", "main", "tie", "s0", "s1")
-        pairs = leaves.repartition("main").sortWithinPartitions("main", "node").mapInArrow(_pair_leaves, "a bigint, b bigint")
+        # Beside a crowd the others are compared with each other too, dealt over SALTS tasks, as many nodes have the same crowd.
+        leaves = tied.join(shape.filter(small | beside).select("node", "main", small.alias("small")), "node").filter(F.col("small") | (F.col("tie") != F.col("main")))
+        leaves = leaves.select("node", "main", F.when(F.col("small"), 0).otherwise(F.pmod(F.xxhash64("node"), F.lit(SALTS))).alias("salt"), "tie", "s0", "s1")
+        pairs = leaves.repartition("main", "salt").sortWithinPartitions("main", "node").mapInArrow(_pair_leaves, "a bigint, b bigint")
         beyond = groups.join(shape.filter(~small & beside).select("node", "main"), "node").filter("tie <> main")
         settle_groups(pairs.union(beyond.select(F.least("tie", "main").alias("a"), F.greatest("tie", "main").alias("b"))))
         if last:

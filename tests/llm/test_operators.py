@@ -158,6 +158,24 @@ def test_near_crowd(spark, monkeypatch):
     assert got(out, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(rows, 2), key=repr)
 
 
+def test_near_beside_crowd(spark, monkeypatch):
+    """Linked pairs whose texts are each just under the threshold to a crowd, and meet only in nodes that the crowd is in."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        own[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    for j in (42, 794, 1706):
+        both = base + [f"b{j}_{i}" for i in range(13)]
+        rows += [(100 + 2 * j + k, " ".join(both + [f"{c}{j}_{i}" for i in range(13)])) for k, c in enumerate("cd")]
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=1)
+    want = sorted(brute.near(rows, 1), key=repr)
+    assert len({component for _, _, component, _ in want}) == 4 and got(out, "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_near_odd(odd, none):
     out = near_dedup.near_duplicates(odd, shingle=2).collect()
     assert len(out) == odd.count() and near_dedup.near_duplicates(none).count() == 0
