@@ -13,19 +13,21 @@ pairs far below it part soon. Every ``STEP`` levels the nodes are counted:
   are already tied; what is found are pairs of tied groups that may be linked;
 * in a larger node with up to ``LEAF`` texts outside its largest tied group,
   these are compared exhaustively, and their groups held against the largest one;
-* any other node whose texts are not all tied yet is branched further.
+* any other node whose texts are not all tied yet is branched further, several
+  times independently, so that depth costs no recall.
 
 A pair is compared by a 128-bit sketch of the same tokens first. What passes is
 confirmed on the full sets, computed from the whole texts: heads one by one,
 groups in blocks, the smaller group against each block of the larger one, so
 that neither the pairs of a crowd become rows nor a crowd meets in one task.
-Texts with equal sets are one class from the start. The number of trees follows
-from the recall.
+Texts with equal sets are one class from the start. The numbers of trees and of
+repeats follow from the recall.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -41,6 +43,8 @@ from .shared import SALTS, stage
 COORDINATES, STEP, LEAF, BLOCK = 128, 4, 4096, 500
 #: After so many rounds of branching the nodes that are left are compared exhaustively, whatever their size.
 ROUNDS = 8
+#: Bound on the independent repeats of a node's branching, for aims that the trees only just meet.
+MOST = 64
 #: Key sets of up to so many numbers (some MB) are broadcast; larger ones are shuffled.
 BROADCAST_KEYS = 200_000
 #: Pairs that a task holds to name each once, some 16 MB.
@@ -52,16 +56,40 @@ _A = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np
 _B = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
 
-def survival(similarity: float, levels: int) -> float:
-    """Chance that a pair still shares a node of one tree after some levels: one branch, or two a quarter of the time."""
-    q = 1.0
+def survival(similarity: float, levels: int, q: float = 1.0) -> float:
+    """Chance that a pair still shares a node of one tree after some levels: one branch, or two a quarter of the time.
+
+    ``q`` is the chance that a node which they share at the end finds them.
+    """
     for _ in range(levels):
         q = 0.75 * similarity * q + 0.25 * (1 - (1 - similarity * q) ** 2)
     return q
 
 
+def missed(similarity: float, trees: int, repeats: int = 1, rounds: int = 0) -> float:
+    """Chance that no tree finds a pair whose nodes are all branched for so many further rounds, ``repeats`` times each.
+
+    All trees see the same coordinates, so it is averaged over how many of them agree.
+    """
+    out = 0.0
+    for k in range(COORDINATES + 1):
+        q = 1.0
+        for _ in range(rounds):
+            q = 1 - (1 - survival(k / COORDINATES, STEP, q)) ** repeats
+        out += math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) * (1 - survival(k / COORDINATES, STEP, q)) ** trees
+    return out
+
+
 def trees_for(recall: float, similarity: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, STEP)))
+    if (1 - similarity) ** COORDINATES >= 1 - recall:
+        raise ValueError(f"no number of trees has a recall of {recall} at {similarity}")
+    return next(n for n in itertools.count(1) if missed(similarity, n) <= 1 - recall)
+
+
+def repeats_for(recall: float, similarity: float) -> int:
+    """How many times a large node is branched further so that the aim holds after all rounds."""
+    trees = trees_for(recall, similarity)
+    return next((n for n in range(1, MOST) if missed(similarity, trees, n, ROUNDS) <= 1 - recall), MOST)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
@@ -97,6 +125,14 @@ def branch(keys: np.ndarray, tokens: np.ndarray, levels: int) -> tuple[np.ndarra
     return keys, rows
 
 
+def regrow(keys: np.ndarray, tokens: np.ndarray, repeats: int) -> tuple[np.ndarray, np.ndarray]:
+    """Goes a step down from nodes ``keys``, ``repeats`` times independently. Returns keys and rows."""
+    again = mix(np.concatenate([keys + U(k) for k in range(1, repeats + 1)]))
+    of = np.tile(np.arange(len(keys)), repeats)
+    keys, rows = branch(again, tokens[of], STEP)
+    return keys, of[rows]
+
+
 def _nodes(keys: np.ndarray, rows: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
     take = pa.array(rows)
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[c.take(take) for c in columns]], ["node", "class", "s0", "s1"])
@@ -189,10 +225,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
                 yield _nodes(keys, of[rows] + lo, [batch.column(c) for c in ("class", "s0", "s1")])
 
     def grow(batches):
+        repeats = repeats_for(recall, threshold)
         for batch in batches:
             tokens = _tokens(batch.column("tokens"))
             node = batch.column("node").to_numpy().view(U)
-            yield _nodes(*branch(node, tokens, STEP), [batch.column(c) for c in ("class", "s0", "s1")])
+            for lo in range(0, len(tokens), 1000):
+                keys, rows = regrow(node[lo : lo + 1000], tokens[lo : lo + 1000], repeats)
+                yield _nodes(keys, rows + lo, [batch.column(c) for c in ("class", "s0", "s1")])
 
     def set_of(batch: pa.RecordBatch, k: int, side: str = "") -> np.ndarray:
         size = batch.column("size" + side)[k].as_py()
