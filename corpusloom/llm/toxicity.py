@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import BROADCAST_ROWS, stage
 
 #: Labelled rows used for fitting (about), features for each category, folds, and the least number of texts with a feature.
-SAMPLE, FEATURES, FOLDS, LEAST = 10_000, 400, 5, 5
+SAMPLE, FEATURES, FOLDS, LEAST = 10_000, 600, 5, 5
 CACHE = 300_000
 #: Stripped from both ends of a word.
 MARKS = ".,;:!?#$%&*|<>()[]{}\"'"
@@ -51,22 +51,23 @@ def features(text: str | None, cache: _Parts) -> set:
     return set().union(*map(cache.__getitem__, set((text or "").lower().split())))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps; the last weight is the bias."""
+def _fit(x: np.ndarray, y: np.ndarray, count: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
+    """Logistic regression by accelerated gradient steps; the last weight is the bias. A row stands for ``count`` rows."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     y = y.astype(np.float32)
+    part = (count / count.sum()).astype(np.float32)
     # Power iteration for the largest curvature gives the step.
     v = np.ones(x.shape[1], np.float32)
     for _ in range(10):
-        v = x.T @ (x @ v)
+        v = x.T @ (part * (x @ v))
         v /= np.linalg.norm(v) or 1
-    step = np.float32(1 / (1.1 * np.linalg.norm(x.T @ (x @ v)) / (4 * len(x)) + penalty))
+    step = np.float32(1 / (1.1 * np.linalg.norm(x.T @ (part * (x @ v))) / 4 + penalty))
     old = seen = np.zeros(x.shape[1], np.float32)
     keep = np.full(x.shape[1], penalty, np.float32)
     keep[-1] = 0
     for k in range(rounds):
         p = 1 / (1 + np.exp(-(x @ seen)))
-        w = seen - step * (x.T @ (p - y) / np.float32(len(x)) + keep * seen)
+        w = seen - step * (x.T @ (part * (p - y)) + keep * seen)
         seen = w + np.float32(k / (k + 3)) * (w - old)
         old = w
     return old
@@ -88,16 +89,16 @@ class Chain:
             x[k, list(own)] = 1
         return x
 
-    def fit(self, x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> "Chain":
+    def fit(self, x: np.ndarray, labels: np.ndarray, fold: np.ndarray, count: np.ndarray) -> "Chain":
         for k in range(len(self.categories)):
             y = labels[:, k]
-            self.weights.append(_fit(x, y))
+            self.weights.append(_fit(x, y, count))
             if k + 1 < len(self.categories):
                 out = np.zeros(len(x))
                 for f in range(FOLDS):
                     rest, own = fold != f, fold == f
                     if own.any() and rest.any():
-                        out[own] = _predict(x[own], _fit(x[rest], y[rest]))
+                        out[own] = _predict(x[own], _fit(x[rest], y[rest], count[rest]))
                 x = np.hstack([x, out[:, None].astype(np.float32)])
         return self
 
@@ -128,20 +129,37 @@ def _count_features(n_labels: int):
     return count
 
 
+def _shares(sizes: dict[str, int], sample: int) -> dict[str, float]:
+    """The share to draw of each stratum: small ones are drawn whole, the others share what is left alike."""
+    out, left = {}, float(sample)
+    for k, (name, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        taken = min(n, left / (len(sizes) - k))
+        left -= taken
+        out[name] = taken / n
+    return out
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fits a chain on the documents that ``labels`` covers, about ``sample`` of them at most.
 
+    Each combination of labels is drawn by itself, so that rare ones are all
+    used; a row counts as many times in the fit as rows of its kind were there for it.
+
     ``categories``: in the order of the chain, a name and a 0/1 expression over
     the label columns. Rows with a null label are left out. The features are,
     for each category, those with the largest chi-squared value.
     """
     marks = [c.cast("int").alias(f"__y{k}") for k, c in enumerate(categories.values())]
     marked = labels.select(F.col(id_col).alias("__id"), *marks).dropna().dropDuplicates(["__id"])
-    total = marked.count()
     unit = F.pmod(F.xxhash64(F.lit("sample"), "__id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     names = [f"__y{k}" for k in range(len(marks))]
-    drawn = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(marked.filter(unit < min(1.0, sample / max(1, total))), F.col("__doc") == F.col("__id"))
-    drawn = stage(drawn.select("__text", *names, F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).cast("int").alias("__fold")), "toxicity-sample")
+    kind = F.concat_ws(",", *names)
+    shares = _shares({r[0]: r[1] for r in marked.groupBy(kind).count().collect()}, sample)  # a row per combination of labels
+    marked = marked.withColumn("__share", F.create_map(*[F.lit(v) for x in shares.items() for v in x])[kind] if shares else F.lit(1.0))
+    picked = stage(marked.filter(unit < F.col("__share")), "toxicity-picked")
+    few = picked.count() <= BROADCAST_ROWS
+    drawn = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text")).join(F.broadcast(picked) if few else picked, F.col("__doc") == F.col("__id"))
+    drawn = stage(drawn.select("__text", *names, F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).cast("int").alias("__fold"), (1 / F.col("__share")).alias("__count")), "toxicity-sample")
     n = drawn.count()
     sums = drawn.agg(*[F.sum(c) for c in names]).first()
     chain = Chain([], list(categories))
@@ -163,12 +181,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
         cache = _Parts(known)
         for batch in batches:
             found = [sorted(features(t, cache)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(1, batch.num_columns)], pa.array(found, pa.list_(pa.int32()))], [*names, "fold", "found"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(1, batch.num_columns)], pa.array(found, pa.list_(pa.int32()))], [*names, "fold", "count", "found"])
 
-    rows = drawn.mapInArrow(look, ", ".join(f"{c} int" for c in names) + ", fold int, found array<int>").toArrow()  # bounded by the sample
+    rows = drawn.mapInArrow(look, ", ".join(f"{c} int" for c in names) + ", fold int, count double, found array<int>").toArrow()  # bounded by the sample
     x = chain.matrix([set(r) for r in rows.column("found").to_pylist()])
     y = np.stack([rows.column(c).to_numpy() for c in names], axis=1).astype(float)
-    return chain.fit(x, y, rows.column("fold").to_numpy())
+    return chain.fit(x, y, rows.column("fold").to_numpy(), rows.column("count").to_numpy())
 
 
 def judge(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

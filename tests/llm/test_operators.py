@@ -364,6 +364,17 @@ def test_toxicity(spark):
     assert wrong <= 0.06 * out.count() and chain.categories == ["low_quality", "toxic"] and len(chain.weights[1]) == len(chain.weights[0]) + 1
 
 
+def test_toxicity_rare(spark):
+    """Every positive is used where they are rare, and the probabilities stay those of the whole table."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(20)) + (" vile" if i % 250 == 0 else ""), int(i % 250 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    chain = toxicity.fit_chain(docs, docs.select("doc_id", F.lit(1).alias("quality"), "toxic"), toxicity.categories(), sample=300)
+    out = toxicity.judge(docs, chain)
+    assert sorted(r.doc_id for r in out.filter("p_toxic >= 0.5").collect()) == list(range(0, 3000, 250))
+    assert out.agg(F.avg("p_toxic")).first()[0] == pytest.approx(12 / 3000, abs=0.003)
+
+
 def test_toxicity_odd(spark, docs, odd, none):
     labels = spark.createDataFrame([(1, None, 1), (2, 1, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     chain = toxicity.fit_chain(odd, labels, toxicity.categories())
