@@ -314,6 +314,15 @@ def test_langid_odd(spark, docs, odd, none):
     assert langid.identify(none, model).count() == 0 and langid.identify(odd, model).count() == odd.count()
 
 
+def test_langid_counts_all(spark):
+    """Counts grow with the input: words that one text each has are known, whatever the sample."""
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnop") for _ in range(12)), "aa") for i in range(1000)]
+    models, _ = langid.Models.load(langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), sample=20))
+    grams = {("   " + t)[i : i + 4] for _, t, _ in rows for i in range(12)}
+    assert len(models.arrays[3][0]) >= 0.9 * len(grams)
+
+
 def test_langid_unlearned(odd, none):
     assert langid.fit(none, F.lit(True)) == b""
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, b"").collect()} == {("und", 0.0)}
