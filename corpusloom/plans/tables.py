@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 _own: dict[str, str] = {}
 
 
@@ -25,29 +25,43 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def stage(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, label: str, compression: str = "zstd", sweep: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
-    A lost executor then costs a reread, not the work before. The driver also
-    drops its garbage, so that shuffle files of the work before go from the
-    executors' disks. Tables are removed when the process ends.
+    A lost executor then costs a reread, not the work before. Tables are removed
+    by :func:`unstage`, or when the process ends. With ``sweep`` the driver drops
+    its garbage, so that the shuffle files of the work before go from the
+    executors' disks; it is for stages behind large shuffles.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _made.append((spark, path))
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    if sweep:
+        spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    table.staged_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`stage` returned; whatever still reads them ends."""
+    for table in tables:
+        path = table.staged_path
+        _delete(_made.pop(path), path)
 
 
 def remove_staged() -> None:
-    """Deletes the tables that :func:`stage` wrote; results that read them end."""
+    """Deletes all tables that :func:`stage` wrote; results that read them end."""
     while _made:
-        spark, path = _made.pop()
+        path, spark = _made.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone at the process's end
             pass
 
