@@ -20,9 +20,11 @@ SCHEMA = (
     "title string, body string, model_text string, model_sha256 string, exact_sha256 string, status string, reason string, "
     "urls int, topics int, mentions int, emoji int, controls int, inserts int, ignored_embeds int"
 )
+# How clusters, pictures, horizontal white space, line ends and token-only texts are told.
 _url, _topic, _mention = (regex.compile(p) for p in (rules.URL_PATTERN, rules.TOPIC_PATTERN, rules.MENTION_PATTERN))
 _cluster, _pictograph, _flat = regex.compile(r"\X"), regex.compile(r"\p{Extended_Pictographic}"), regex.compile(r"[^\S\n]+")
 _newline = re.compile("\r\n|[\r\x85  ]")
+_unseen = regex.compile(r"[\s\p{Cf}\p{Cc}]*")
 _says_ops = re.compile(r"""["']ops["']\s*:""")
 _status_rules = [(name, re.compile(pattern, re.IGNORECASE)) for name, pattern in rules.FULL_MATCH_RULES]
 _tokens_only = re.compile(r"(?:\[(?:URL|MENTION|EMOJI)\]|\s)+")
@@ -62,33 +64,45 @@ def exact_field(value: str | None) -> str:
     return "".join(text.casefold().split())
 
 
+def _insert(step: object) -> tuple[str | None, str | None]:
+    """The text that one step of a Delta document inserts (None for an embed that says nothing), or what is wrong with it."""
+    allowed = isinstance(step, dict) and {"insert"} <= step.keys() <= {"insert", "attributes"}
+    if not allowed or not isinstance(step.get("attributes", {}), dict):
+        return None, "structured_text_operation_invalid"
+    held = step["insert"]
+    if isinstance(held, str):
+        return held, None
+    silent = isinstance(held, dict) and len(held) == 1 and set(held) <= IGNORED_EMBEDS
+    return None, None if silent else "structured_text_embed_unsupported"
+
+
 def project_delta(value: str | None) -> tuple[str, str | None, int, int]:
-    """(text, reason why not, text inserts, ignored embeds) of a body that may be a Delta document."""
+    """(text, what is wrong, text inserts, silent embeds) of a field that may be a Delta document.
+
+    A field that is none comes back as it is. One that is damaged, unsupported
+    or without text has no text at all, so that its markup never passes for one.
+    """
     raw = value or ""
-    start = next((i for i, c in enumerate(raw) if not (c.isspace() or unicodedata.category(c) in ("Cf", "Cc"))), len(raw))
-    if raw[start : start + 1] != "{":
+    document = raw[_unseen.match(raw).end() :]
+    if not document.startswith("{"):
         return raw, None, 0, 0
     try:
-        found = json.loads(raw[start:])
-    except ValueError:
-        return (raw, "structured_text_malformed", 0, 0) if _says_ops.search(raw) else (raw, None, 0, 0)
-    if not isinstance(found, dict) or "ops" not in found:
+        found = json.loads(document)
+    except (ValueError, RecursionError):
+        return ("", "structured_text_malformed", 0, 0) if _says_ops.search(document) else (raw, None, 0, 0)
+    if "ops" not in found:
         return raw, None, 0, 0
     if not isinstance(found["ops"], list):
-        return raw, "structured_text_operations_invalid", 0, 0
-    texts, embeds = [], 0
-    for step in found["ops"]:
-        if not isinstance(step, dict) or "insert" not in step or set(step) - {"insert", "attributes"} or not isinstance(step.get("attributes", {}), dict):
-            return raw, "structured_text_operation_invalid", 0, 0
-        insert = step["insert"]
-        if isinstance(insert, str):
-            texts.append(insert)
-        elif isinstance(insert, dict) and len(insert) == 1 and next(iter(insert)) in IGNORED_EMBEDS:
-            embeds += 1
-        else:
-            return raw, "structured_text_embed_unsupported", 0, 0
-    text = "".join(texts)
-    return (text, None, len(texts), embeds) if text.strip() else (raw, "structured_text_no_text", 0, 0)
+        return "", "structured_text_operations_invalid", 0, 0
+    fault, read = None, []
+    for text, fault in map(_insert, found["ops"]):
+        if fault:
+            break
+        read.append(text)
+    parts = [text for text in read if text is not None]
+    if not fault and not _clean("".join(parts))[0].strip():
+        fault = "structured_text_no_text"
+    return "" if fault else "".join(parts), fault, len(parts), len(read) - len(parts)
 
 
 def status_of(title: str, body: str, source: str | None) -> tuple[str, str]:
@@ -106,14 +120,15 @@ def status_of(title: str, body: str, source: str | None) -> tuple[str, str]:
 
 
 def normalise_post(title: str | None, body: str | None, source: str | None) -> tuple:
-    text, reason, inserts, embeds = project_delta(body)
-    head, a = normalise_field(title)
-    tail, b = normalise_field(text)
+    fields = [project_delta(x) for x in (title, body)]
+    (head, a), (tail, b) = (normalise_field(text) for text, *_ in fields)
+    reason = fields[0][1] or fields[1][1]
     state = ("invalid", reason) if reason else status_of(head, tail, source)
     whole = f"{rules.TITLE}\n{head}\n{rules.BODY}\n{tail}"
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    exact = digest(f"T:{exact_field(title)}\x1fB:{exact_field(text)}") if state[0] == "usable" else None
-    return (head, tail, whole, digest(whole), exact, *state, *[a[k] + b[k] for k in ("urls", "topics", "mentions", "emoji", "controls")], inserts, embeds)
+    exact = digest("\x1f".join(f"{mark}:{exact_field(text)}" for mark, (text, *_) in zip("TB", fields))) if state[0] == "usable" else None
+    counts = [a[k] + b[k] for k in ("urls", "topics", "mentions", "emoji", "controls")]
+    return (head, tail, whole, digest(whole), exact, *state, *counts, fields[0][2] + fields[1][2], fields[0][3] + fields[1][3])
 
 
 def _normalise(title: pd.Series, body: pd.Series, source: pd.Series) -> pd.DataFrame:

@@ -5,6 +5,7 @@ White space is meant as Unicode has it (``(?U)\\s``), not as Java's ASCII defaul
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ FULL_MATCH_RULES = (
 )
 
 _WS = r"(?U)\s"
+#: The controls and white space of ASCII.
+_ASCII_UNSEEN = "".join(map(chr, [*range(33), 127]))
 
 
 def canonical_newlines(c: Column) -> Column:
@@ -103,9 +106,22 @@ def near_text(title: Column, body: Column) -> Column:
     return strip(F.concat_ws("\n", title, body))
 
 
+def _folded(fields: pd.Series) -> pd.Series:
+    from .normaliser import exact_field as fold
+
+    return fields.map(lambda x: None if x is None else fold(x))
+
+
 def exact_field(c: Column) -> Column:
-    """The field without controls, case or white space (lower case stands in for full case folding)."""
-    return F.regexp_replace(F.lower(strip_controls(canonical_newlines(F.coalesce(c, F.lit(""))))), _WS, "")
+    """The field in NFKC, without controls, case or white space.
+
+    Plain ASCII stays in the JVM; only other fields go through the Arrow kernel,
+    as Spark has neither NFKC nor full case folding.
+    """
+    text = F.coalesce(c, F.lit(""))
+    other = F.when(F.octet_length(text) > F.length(text), text)
+    plain = F.lower(F.translate(text, _ASCII_UNSEEN, ""))
+    return F.coalesce(F.pandas_udf(_folded, "string")(other), plain)
 
 
 def exact_key(title: Column, body: Column) -> Column:
@@ -139,8 +155,7 @@ def segments(c: Column) -> Column:
 def evidence_span(text: Column, quote: Column, start: Column | None = None) -> Column:
     """(start, end) of a quote, from 0; null if it is absent, or repeated and no start is given."""
     at = F.instr(text, quote)
-    unique = F.length(text) - F.length(F.replace(text, quote, F.lit("")))
-    found = F.when((at > 0) & (unique == F.length(quote)), at - 1)
+    found = F.when((at > 0) & (F.position(quote, text, at + 1) == 0), at - 1)
     if start is not None:
         found = F.when(start.isNotNull(), F.when(F.substr(text, start + 1, F.length(quote)) == quote, start)).otherwise(found)
     return F.when(found.isNotNull(), F.struct(found.alias("start"), (found + F.length(quote)).alias("end")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.tables import stage
+from corpusloom.plans.tables import stage, unstage
 
 
 #: The minima of up to so many edges (a few MB) are broadcast; those of more are shuffled.
@@ -41,6 +41,7 @@ def connected_components(edges: DataFrame, left: str = "left", right: str = "rig
         large = _minimum(both, few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = _minimum(large, few)
         small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).union(down.select("u", "m")).filter("a <> b").distinct()
-        now = stage(small.coalesce(1 + state[0] // BROADCAST_EDGES), "components")
+        old, now = now, stage(small.coalesce(1 + state[0] // BROADCAST_EDGES), "components")
+        unstage(old)
     roots = now.select(F.col("b").alias("vertex")).distinct()
     return now.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(roots.select("vertex", F.col("vertex")))

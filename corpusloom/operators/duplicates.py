@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,11 @@ def exact_clusters(posts: DataFrame, key: str, id_col: str, platform: str) -> Da
     )
 
 
+def exact_members(posts: DataFrame, key: str, id_col: str) -> DataFrame:
+    """Each row with its cluster's representative (least id) and size; a large cluster is counted before it is shuffled."""
+    return posts.join(posts.groupBy(key).agg(F.min(id_col).alias("representative"), F.count(F.lit(1)).alias("size")), key)
+
+
 def conflicts(rows: DataFrame, key: str, decision: str) -> DataFrame:
     """Keys with more than one decision."""
     return rows.groupBy(key).agg(F.count_distinct(decision).alias("decisions"), F.count(F.lit(1)).alias("rows")).filter("decisions > 1")
@@ -29,45 +38,171 @@ def grams(text, sizes=(3, 4, 5)):
     return F.flatten(F.array(*[one(n) for n in sizes]))
 
 
-def _line_grams(sizes: tuple[int, ...], within_lines: bool):
-    """Per batch: (id, n-gram, count). Runs of white space count as one space unless lines part the grams."""
-
-    def make(batches):
-        for batch in batches:
-            ids, out, times = [], [], []
-            for i, text in zip(batch["id"], batch["text"]):
-                seen: dict[str, int] = {}
-                for part in (text or "").split("\n") if within_lines else [_one_space(text or "")]:
-                    for n in sizes:
-                        for k in range(len(part) - n + 1):
-                            g = part[k : k + n]
-                            seen[g] = seen.get(g, 0) + 1
-                ids += [i] * len(seen)
-                out += seen
-                times += seen.values()
-            yield pd.DataFrame({"id": ids, "gram": out, "n": times})
-
-    return make
+#: Code points of texts that the kernel takes at once (a longer text alone).
+SLICE = 1 << 20
+#: Shared n-grams up to this many (some 100 MB) are sent to every worker; beyond, texts and n-grams are joined by a shuffle.
+BROADCAST_GRAMS = 2_000_000
+
+
+class Grams:
+    """The n-grams of some texts. They are numbered by the number of the one a character shorter and
+    their last character, so equal numbers are equal n-grams."""
+
+    def __init__(self, texts: list[str], within_lines: bool):
+        joined = "".join(texts)
+        self.codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        self.raw = np.frombuffer(joined.encode(), np.uint8)
+        lengths = np.array([len(t) for t in texts])
+        self.text = np.repeat(np.arange(len(texts)), lengths)
+        place, stops = np.arange(len(self.codes)), np.cumsum(lengths)
+        if within_lines:
+            stops = np.union1d(stops, np.flatnonzero(self.codes == 10))
+        self.room = stops[np.searchsorted(stops, place, "right")] - place  # characters up to the text's or the line's end
+        if within_lines:
+            self.room[self.codes == 10] = 0
+        width = 1 + (self.codes > 0x7F).astype(np.int64) + (self.codes > 0x7FF) + (self.codes > 0xFFFF)
+        self.byte = np.concatenate([[0], np.cumsum(width)])
+
+    def by_size(self, sizes: tuple[int, ...]):
+        """For each size: the size, the number of the n-gram at each place, and the places that have one."""
+        one = np.unique(self.codes, return_inverse=True)[1]
+        base, gram = int(one.max(initial=0)) + 1, one
+        for n in range(1, max(sizes) + 1):
+            if n > 1:
+                gram = np.unique(gram[:-1] * base + one[n - 1 :], return_inverse=True)[1] if len(one) >= n else one[:0]
+            if n in sizes:
+                yield n, gram, np.flatnonzero(self.room[: len(gram)] >= n)
+
+    def strings(self, start: np.ndarray, n: int) -> pa.Array:
+        size = self.byte[start + n] - self.byte[start]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.raw[np.repeat(self.byte[start] - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(data)).cast(pa.string())
+
+    def packed(self, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return _pack([self.codes[start + k] for k in range(n)])
+
+    def distinct(self, gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A place and a count for each (text, n-gram)."""
+        _, first, times = np.unique(self.text[at] * (int(gram.max(initial=0)) + 1) + gram[at], return_index=True, return_counts=True)
+        return at[first], times
+
+
+def _pack(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Up to six characters as two numbers; equal numbers are equal n-grams."""
+    out = []
+    for part in (codes[:3], codes[3:]):
+        number = np.zeros(len(codes[0]), np.uint64)
+        for k in range(3):
+            number = (number << np.uint64(21)) | (part[k].astype(np.uint64) + np.uint64(1) if k < len(part) else np.uint64(0))
+        out.append(number)
+    return out[0], out[1]
+
+
+def _mixed(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    h = hi * np.uint64(0x9E3779B97F4A7C15) ^ (lo * np.uint64(0xC2B2AE3D27D4EB4F))
+    h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _sliced(batches, within_lines: bool):
+    """(ids, n-grams) of runs of rows of (id, text). Runs of white space count as one space unless lines part the grams."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        if not within_lines:
+            texts = [_one_space(t) for t in texts]
+        ends = np.cumsum([len(t) for t in texts])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+            yield batch.column(0).slice(lo, hi - lo), Grams(texts[lo:hi], within_lines)
+            lo = hi
 
 
 def _one_space(text: str) -> str:
-    import re
-
     return re.sub(r"\s\s+", " ", text)
 
 
 def gram_counts(texts: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), within_lines: bool = False) -> DataFrame:
     """(id, gram, n): the distinct n-grams of each text of (id, text), counted within the text."""
+
+    def count(batches):
+        for ids, grams in _sliced(batches, within_lines):
+            for n, gram, at in grams.by_size(sizes):
+                start, times = grams.distinct(gram, at)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(grams.text[start])), grams.strings(start, n), pa.array(times, pa.int64())], ["id", "gram", "n"])
+
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInPandas(_line_grams(sizes, within_lines), f"id {kind}, gram string, n bigint")
+    return texts.select("id", "text").mapInArrow(count, f"id {kind}, gram string, n bigint")
 
 
-def blocking_keys(counts: DataFrame, n_docs: int, per_doc: int = 12, ratio_ppm: int = 50_000, cap: int = 200) -> DataFrame:
-    """The rarest n-grams of each text that other texts share: by frequency, longer first, then by code point."""
+def gram_frequencies(texts: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), within_lines: bool = False) -> DataFrame:
+    """(gram, df): in how many rows of (id, text) each n-gram is; counted in the kernel before the shuffle."""
+
+    def count(batches):
+        for _, grams in _sliced(batches, within_lines):
+            for n, gram, at in grams.by_size(sizes):
+                start, _ = grams.distinct(gram, at)
+                _, first, times = np.unique(gram[start], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([grams.strings(start[first], n), pa.array(times, pa.int64())], ["gram", "n"])
+
+    return texts.select("id", "text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("df"))
+
+
+def blocking_keys(texts: DataFrame, per_doc: int = 12, ratio_ppm: int = 50_000, cap: int = 200, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+    """(id, gram, df): the rarest n-grams (within lines) of each text that other texts share.
+
+    The order is by frequency, longer first, then by code point. The texts are
+    read twice: for the frequencies, and to pick from those that are eligible.
+    """
+    n_docs = texts.count()
     most = max(2, min(cap, n_docs * ratio_ppm // 1_000_000))
-    frequency = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(2, most))
-    rank = Window.partitionBy("id").orderBy("df", F.desc(F.length("gram")), "gram")
-    return counts.select("id", "gram").join(frequency, "gram").withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= per_doc).drop("k")
+    eligible = stage(gram_frequencies(texts, sizes, within_lines=True).filter(F.col("df").between(2, most)), "eligible-grams")
+    if eligible.count() > BROADCAST_GRAMS:
+        rank = Window.partitionBy("id").orderBy("df", F.desc(F.length("gram")), "gram")
+        counts = gram_counts(texts, sizes, within_lines=True).select("id", "gram")
+        return counts.join(eligible, "gram").withColumn("k", F.row_number().over(rank)).filter(F.col("k") <= per_doc).select("id", "gram", "df")
+    table = eligible.orderBy("df", F.desc(F.length("gram")), "gram").toArrow().combine_chunks()  # bounded by BROADCAST_GRAMS
+    sent = texts.sparkSession.sparkContext.broadcast(table)
+
+    def pick(batches):
+        names, df = (sent.value.column(c).combine_chunks() for c in ("gram", "df"))
+        length = pc.utf8_length(names).to_numpy()
+        tables = {}
+        for n in sizes:  # places in the order, sorted by a hash of the n-gram
+            own = np.flatnonzero(length == n)
+            codes = np.frombuffer("".join(names.take(pa.array(own)).to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            hi, lo = _pack([codes[:, k] for k in range(n)])
+            order = np.argsort(_mixed(hi, lo))
+            tables[n] = _mixed(hi, lo)[order], hi[order], lo[order], own[order]
+        for ids, grams in _sliced(batches, True):
+            texts_, ranks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n, gram, at in grams.by_size(sizes):
+                keys, hi, lo, own = tables[n]
+                start, _ = grams.distinct(gram, at)
+                if not len(keys) or not len(start):
+                    continue
+                a, b = grams.packed(start, n)
+                place = np.searchsorted(keys, _mixed(a, b))
+                while True:  # n-grams of equal hash stand side by side
+                    inside = np.minimum(place, len(keys) - 1)
+                    same = (keys[inside] == _mixed(a, b)) & (place < len(keys))
+                    hit = same & (hi[inside] == a) & (lo[inside] == b)
+                    texts_.append(grams.text[start[hit]])
+                    ranks.append(own[inside[hit]])
+                    on = same & ~hit
+                    if not on.any():
+                        break
+                    start, a, b, place = start[on], a[on], b[on], place[on] + 1
+            text, rank = np.concatenate(texts_), np.concatenate(ranks)
+            order = np.lexsort((rank, text))
+            text, rank = text[order], rank[order]
+            first = np.searchsorted(text, text)  # where the text's own begin
+            few = np.arange(len(text)) - first < per_doc
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[few])), names.take(pa.array(rank[few])), df.take(pa.array(rank[few]))], ["id", "gram", "df"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInArrow(pick, f"id {kind}, gram string, df bigint")
 
 
 def blocked_pairs(keys: DataFrame) -> DataFrame:
@@ -76,18 +211,19 @@ def blocked_pairs(keys: DataFrame) -> DataFrame:
     return left.join(right, "gram").filter("left < right").groupBy("left", "right").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def tfidf(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: int | None = None, sublinear: bool = False, of: DataFrame | None = None) -> DataFrame:
+def tfidf(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: int | None = None, sublinear: bool = False, frequencies: DataFrame | None = None) -> DataFrame:
     """(id, gram, w): term frequency times smooth idf, each text's vector of length one.
 
-    ``counts`` gives the document frequencies; with ``of``, the counts of some of
-    the texts, only these get vectors. The vectors are a staged table.
+    ``frequencies`` (gram, df) may cover more texts than ``counts`` does; without
+    it they come from ``counts``. The weights are a staged table.
     """
-    df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")) if frequencies is None else frequencies
+    df = df.filter(F.col("df") >= min_df)
     if max_df is not None:
         df = df.filter(F.col("df") <= max_df)
     idf = df.select("gram", (F.ln((1.0 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     tf = 1 + F.ln("n") if sublinear else F.col("n").cast("double")
-    raw = stage((counts if of is None else of).join(idf, "gram").select("id", "gram", (tf * F.col("idf")).alias("w")), "term-weights")
+    raw = stage(counts.join(idf, "gram").select("id", "gram", (tf * F.col("idf")).alias("w")), "term-weights")
     length = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return raw.join(length, "id").select("id", "gram", (F.col("w") / F.col("length")).alias("w"))
 
@@ -120,14 +256,15 @@ def near_pairs(texts: DataFrame, threshold_ppm: int = 800_000, min_ratio_ppm: in
     aside, take no part; null texts count as empty.
     """
     long_enough = texts.filter(F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) >= min_chars)
+    long_enough = stage(long_enough.select("id", "text"), "near-texts")
     n = long_enough.count()
-    keys = blocking_keys(gram_counts(long_enough, within_lines=True), n)
-    pairs = stage(blocked_pairs(keys), "blocked-pairs")
+    pairs = stage(blocked_pairs(stage(blocking_keys(long_enough), "blocking-keys")), "blocked-pairs")
     size = texts.select("id", F.length("text").alias("c"))
     sized = pairs.join(size.withColumnRenamed("id", "left").withColumnRenamed("c", "cl"), "left").join(size.withColumnRenamed("id", "right").withColumnRenamed("c", "cr"), "right")
     sized = stage(sized.select("left", "right", "shared", length_ratio_ppm(F.col("cl"), F.col("cr")).alias("length_ratio_ppm")).filter(F.col("length_ratio_ppm") >= min_ratio_ppm), "sized-pairs")
     paired = stage(sized.select(F.col("left").alias("id")).union(sized.select("right")).distinct(), "paired")
-    weights = tfidf(gram_counts(long_enough), n, 2, max(2, int(max_df_ratio * n)), sublinear=True, of=gram_counts(long_enough.join(paired, "id", "left_semi")))
+    counts = gram_counts(long_enough.join(paired, "id", "left_semi"))
+    weights = tfidf(counts, n, 2, max(2, int(max_df_ratio * n)), sublinear=True, frequencies=gram_frequencies(long_enough))
     scored = pair_cosines(sized, weights).withColumn("similarity_ppm", similarity_ppm(F.col("similarity")))
     return scored.filter(F.col("similarity_ppm") >= threshold_ppm).drop("similarity").join(sized, ["left", "right"])
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corpusloom.plans.tables import stage
 
 from .components import connected_components
 
@@ -18,11 +24,37 @@ def component_ids(rows: DataFrame, edges: DataFrame, id_col: str = "id", length:
     """Each id with its component's root, size, and an identifier hashed from the sorted members."""
     roots = connected_components(edges)
     rooted = rows.select(F.col(id_col).alias("id")).join(roots.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("component", "id"))
-    members = rooted.groupBy("root").agg(F.sort_array(F.collect_list("id")).alias("m"))  # a member list is what the identifier hashes
-    named = members.select("root", F.size("m").cast("long").alias("size"), F.substring(F.sha2(F.to_json("m").cast("binary"), 256), 1, length).alias("component_id"))
+    rooted = stage(rooted.select("id", "root"), "rooted")
+
+    def name(batches):
+        """Rows come sorted by root and id; a component's members go through its hash one by one."""
+        at, digest, n = None, None, 0
+        for batch in batches:
+            out = []
+            for root, token in zip(batch.column("root").to_pylist(), batch.column("token").to_pylist()):
+                if at is None or root != at:
+                    if at is not None:
+                        digest.update(b"]")
+                        out.append((at, n, digest.hexdigest()[:length]))
+                    at, digest, n = root, hashlib.sha256(b"["), 0
+                digest.update((b"," if n else b"") + token.encode())
+                n += 1
+            yield _named(out, kind)
+        if at is not None:
+            digest.update(b"]")
+            yield _named([(at, n, digest.hexdigest()[:length])], kind)
+
+    kind = to_arrow_type(rooted.schema["root"].dataType)
+    token = F.to_json(F.array("id"))
+    tokens = rooted.select("root", "id", F.substring(token, F.lit(2), F.length(token) - 2).alias("token"))
+    named = tokens.repartition("root").sortWithinPartitions("root", "id").mapInArrow(name, f"root {rooted.schema['root'].dataType.simpleString()}, size bigint, component_id string")
     return rooted.join(named, "root").select("id", "root", "size", "component_id")
 
 
+def _named(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["root", "size", "component_id"])
+
+
 def leakage_groups(posts: DataFrame, confirmed: DataFrame) -> DataFrame:
     """Components of posts (id, author, cluster) joined by author, exact cluster and confirmed pairs.
 
@@ -30,7 +62,7 @@ def leakage_groups(posts: DataFrame, confirmed: DataFrame) -> DataFrame:
     clusters but flags all of their members. A blank author never joins posts.
     Returns ``id, root, size, component_id, by_author, by_exact, by_confirmed``.
     """
-    known = posts.withColumn("author", F.nullif(F.trim("author"), F.lit("")))
+    known = stage(posts.select("id", F.nullif(F.trim("author"), F.lit("")).alias("author"), "cluster"), "leakage-posts")
     first = known.groupBy("cluster").agg(F.min("id").alias("m"))
     linked = (
         confirmed.join(first.select(F.col("cluster").alias("left_cluster"), F.col("m").alias("left")), "left_cluster")
@@ -38,7 +70,6 @@ def leakage_groups(posts: DataFrame, confirmed: DataFrame) -> DataFrame:
         .select("left", "right")
     )
     edges = star_edges(known, "author").union(star_edges(known, "cluster")).union(linked)
-    size = lambda key: F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
     touched = confirmed.select(F.col("left_cluster").alias("cluster")).union(confirmed.select("right_cluster")).distinct().withColumn("by_confirmed", F.lit(True))
     authors = known.filter("author is not null").groupBy("author").agg((F.count(F.lit(1)) > 1).alias("by_author"))
     clusters = known.groupBy("cluster").agg((F.count(F.lit(1)) > 1).alias("by_exact"))
@@ -50,8 +81,9 @@ def leakage_groups(posts: DataFrame, confirmed: DataFrame) -> DataFrame:
 
 def representatives(members: DataFrame) -> DataFrame:
     """Of (id, root, text) rows: the fullest text of each component stands for it, then the least id."""
-    order = Window.partitionBy("root").orderBy(F.desc(F.length(F.regexp_replace("text", r"(?U)\s", ""))), "id")
-    return members.withColumn("is_representative", F.row_number().over(order) == 1)
+    fullness = F.length(F.regexp_replace("text", r"(?U)\s", ""))
+    best = members.groupBy("root").agg(F.min(F.struct((-F.coalesce(fullness, F.lit(-1))).alias("lack"), F.col("id"))).alias("best"))
+    return members.join(best.select("root", F.col("best.id").alias("__best")), "root").withColumn("is_representative", F.col("id") == F.col("__best")).drop("__best")
 
 
 def label_conflicts(members: DataFrame, label: str = "label") -> DataFrame:

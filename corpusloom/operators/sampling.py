@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,14 +33,32 @@ def global_rank(rows: DataFrame, *order: Column, name: str = "rank") -> DataFram
     return parts.withColumn(name, within.cast("long")).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before", *[f"__o{k}" for k in range(len(keys))])
 
 
+#: Keys that the rows of one stratum are dealt over before the last pick.
+SALTS = 64
+
+
+def first_of_each(rows: DataFrame, keys: list[str], n: Column, *order: Column | str, name: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each stratum in an order, numbered from 1, without sorting a whole stratum in one task.
+
+    Rows are dealt over ``SALTS`` parts of their stratum first; the first n of
+    each part then meet for the last pick.
+    """
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALTS))
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    named = rows.select("*", *[o.alias(f"__o{k}") for k, o in enumerate(order)], part.alias("__part"))
+    sort = [f"__o{k}" for k in range(len(order))]
+    for by in (Window.partitionBy(*keys, "__part"), Window.partitionBy(*keys)):
+        named = named.withColumn(name, F.row_number().over(by.orderBy(*sort)).cast("long")).filter(F.col(name) <= n)
+    return named.drop("__part", *sort)
+
+
 def first_per_stratum(rows: DataFrame, stratum: str, take: DataFrame, order: Column, tie: str) -> DataFrame:
     """The first rows of each stratum in an order, as many as ``take`` (stratum, n_h) says, with weights.
 
     Adds ``population`` N, ``rank``, ``inclusion_probability`` n/N and ``analysis_weight`` N/n.
     """
-    key = Window.partitionBy(stratum)
-    ranked = rows.withColumn("population", F.count(F.lit(1)).over(key)).withColumn("rank", F.row_number().over(key.orderBy(order, tie)).cast("long"))
-    taken = ranked.join(take, stratum).filter(F.col("rank") <= F.col("n_h"))
+    sizes = take.join(rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("population")), stratum)
+    taken = first_of_each(rows.join(F.broadcast(sizes), stratum), [stratum], F.col("n_h"), order, tie)  # a row per stratum of the plan
     return taken.withColumn("inclusion_probability", F.col("n_h") / F.col("population")).withColumn("analysis_weight", F.col("population") / F.col("n_h"))
 
 
@@ -61,8 +82,7 @@ def allocate(targets: dict[str, int], populations: dict[str, int]) -> dict[str,
 
 def balanced_take(rows: DataFrame, group: str, order: Column, tie: str, n: int) -> DataFrame:
     """n rows, one from each group in turn."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(order, tie))
-    return rows.withColumn("turn", turn.cast("long")).orderBy("turn", group).limit(n)
+    return first_of_each(rows, [group], F.lit(n), order, tie, name="turn").orderBy("turn", group).limit(n)
 
 
 def quantile_rows(rows: DataFrame, key: str, order: list[str], k: int = 5) -> DataFrame:
@@ -112,19 +132,49 @@ def without_touched_components(rows: DataFrame, component: str, reference: DataF
     return rows.join(touched, component, "left_anti")
 
 
-def nearest_controls(cases: DataFrame, pool: DataFrame, label: str, size: str, id_col: str = "id") -> DataFrame:
-    """A control for each case: same label, nearest size; no control is used twice.
+def nearest_controls(cases: DataFrame, pool: DataFrame, group: list[str], band: str, size: str, seed: str = "controls", id_col: str = "id") -> DataFrame:
+    """A control for each case from the same group (label and split, say); no control is used twice.
+
+    A control of the case's own length band is preferred: the k-th case of a
+    band (by id) gets the k-th control (in hash order). What is left then goes, by
+    the ids of the cases, to the remaining control of the group with the nearest
+    size, the first in hash order among equals. Returns the case, its control,
+    the group, ``matching`` (``band`` or ``nearest``) and ``difference``.
 
-    In each label the k-th case by size meets the k-th place of the pool by size,
-    so ranks replace a search that would go case by case.
+    A group with fewer controls than cases is an error. That last step goes case
+    by case in a task per group; of its controls it reads, for each size, as many
+    as the group has such cases, which is all that can be taken.
     """
-    number = lambda rows, n: rows.withColumn(n, F.row_number().over(Window.partitionBy(label).orderBy(size, id_col)))
-    count = lambda rows, n: rows.groupBy(label).agg(F.count(F.lit(1)).alias(n))
-    a = number(cases, "k").join(count(cases, "n"), label).join(count(pool, "m"), label)
-    # Spread over the pool's ranks; with fewer controls than cases the last cases get none.
-    at = F.when(F.col("m") >= F.col("n"), F.floor((F.col("k") - 1) * F.col("m") / F.col("n")) + 1).otherwise(F.col("k"))
-    b = number(pool, "at").select(label, "at", F.col(id_col).alias("control"), F.col(size).alias("control_size"))
-    return a.withColumn("at", at.cast("int")).join(b, [label, "at"]).select(F.col(id_col).alias("case"), "control", label, (F.col(size) - F.col("control_size")).alias("difference"))
+    short = cases.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(pool.groupBy(*group).agg(F.count(F.lit(1)).alias("m")), group, "left")
+    if not (lacking := short.filter("coalesce(m, 0) < n").limit(5)).isEmpty():
+        raise ValueError(f"fewer controls than cases in {[r.asDict() for r in lacking.collect()]}")
+    key = [*group, band]
+    order = hash_order(seed, F.col(id_col))
+    numbered = cases.withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy(id_col)).cast("long"))
+    wanted = cases.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    first = first_of_each(pool.join(wanted, key), key, F.col("__n"), order, name="k").select(*key, "k", F.col(id_col).alias("control"), F.col(size).alias("control_size"))
+    met = stage(numbered.join(first, [*key, "k"], "left"), "controls-met")
+    taken = met.filter("control is not null")
+    left = met.filter("control is null").select(F.col(id_col).alias("id"), *group, F.col(size).alias("size"))
+    needed = left.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    free = pool.join(taken.select(F.col("control").alias(id_col)), id_col, "left_anti").join(needed, group)
+    free = first_of_each(free, [*group, size], F.col("__n"), order, name="__k").select(F.col(id_col).alias("id"), *group, F.col(size).alias("size"))
+    kinds = {f.name: f.dataType.simpleString() for f in cases.schema.fields}
+
+    def pick(key, asked, offered):
+        order = [hashlib.sha256(f"{seed}|{i}".encode()).hexdigest() for i in offered["id"]]
+        offered = offered.assign(order=order).sort_values("order")
+        names, sizes, out = offered["id"].tolist(), offered["size"].to_numpy(float), []
+        for i, n in asked.sort_values("id")[["id", "size"]].itertuples(index=False):
+            at = int(np.argmin(np.abs(sizes - n)))  # the first in hash order among equals
+            out.append((i, names[at], *key, "nearest", int(n - sizes[at])))
+            sizes[at] = np.inf
+        return pd.DataFrame(out, columns=["case", "control", *group, "matching", "difference"])
+
+    ddl = f"case {kinds[id_col]}, control {kinds[id_col]}, " + ", ".join(f"{g} {kinds[g]}" for g in group) + ", matching string, difference bigint"
+    nearest = left.groupBy(*group).cogroup(free.groupBy(*group)).applyInPandas(pick, ddl)
+    exact = taken.select(F.col(id_col).alias("case"), "control", *group, F.lit("band").alias("matching"), (F.col(size) - F.col("control_size")).cast("long").alias("difference"))
+    return exact.union(nearest)
 
 
 def slots(gaps: dict[str, int]) -> list[str]:
@@ -139,6 +189,7 @@ def slots(gaps: dict[str, int]) -> list[str]:
 
 def replacement_outcome(usable: Column, duplicate: Column, review: Column, needed: Column, label: Column, final: Column) -> Column:
     """What becomes of a queued replacement; the first reason that holds."""
+    # The names of the outcomes.
     return (
         F.when(~usable, "structure_unusable")
         .when(duplicate, "confirmed_duplicate")

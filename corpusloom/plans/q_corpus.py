@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text, values
 from corpusloom.operators import duplicates, leakage, sampling
 from corpusloom.operators.components import connected_components
+from corpusloom.plans.tables import read_table, stage
 
 from .q_text import EXACT, POSTS, docs, posts
 from .registry import add
 
 
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, sf, name)
 
 
 def keyed(spark, sf):
@@ -31,13 +31,13 @@ add(
 )
 add(
     "exact_cluster_members",
-    lambda s, d: keyed(s, d).select("doc_id", F.min("doc_id").over(Window.partitionBy("key")).alias("representative"), F.count("*").over(Window.partitionBy("key")).alias("size")),
+    lambda s, d: duplicates.exact_members(keyed(s, d), "key", "doc_id").select("doc_id", "representative", "size"),
     f"with {KEYED} select doc_id, min(doc_id) over (partition by key) as representative, count(*) over (partition by key) as size from keyed",
 )
 add(
     "cluster_label_conflicts",
-    lambda s, d: duplicates.conflicts(keyed(s, d).join(table(s, d, "labels"), "doc_id"), "key", "quality"),
-    f"with {KEYED} select key, count(distinct quality) as decisions, count(*) as rows from keyed join labels using (doc_id) group by key having count(distinct quality) > 1",
+    lambda s, d: duplicates.conflicts(keyed(s, d).join(table(s, d, "labels"), "doc_id").withColumn("cluster", F.substring("key", 1, 2)), "cluster", "quality"),
+    f"with {KEYED} select substr(key, 1, 2) as cluster, count(distinct quality) as decisions, count(*) as rows from keyed join labels using (doc_id) group by cluster having count(distinct quality) > 1",
 )
 
 
@@ -57,10 +57,10 @@ NEAR = f"""{KEYED}, t as (select doc_id as id, regexp_replace(title || chr(10) |
 
 add(
     "sim_blocking_keys",
-    lambda s, d: duplicates.blocking_keys(duplicates.gram_counts(t := near_texts(s, d), within_lines=True), t.count()),
+    lambda s, d: duplicates.blocking_keys(stage(near_texts(s, d), "near-texts")),
     f"with {NEAR} select id, gram, df from keys",
 )
-add("sim_blocked_pairs", lambda s, d: duplicates.blocked_pairs(duplicates.blocking_keys(duplicates.gram_counts(t := near_texts(s, d), within_lines=True), t.count())), f'with {NEAR} select "left", "right", shared from bp')
+add("sim_blocked_pairs", lambda s, d: duplicates.blocked_pairs(stage(duplicates.blocking_keys(stage(near_texts(s, d), "near-texts")), "blocking-keys")), f'with {NEAR} select "left", "right", shared from bp')
 add(
     "sim_near_pairs",
     lambda s, d: duplicates.near_pairs(near_texts(s, d)).select("left", "right", F.floor(F.col("similarity_ppm") / 10).alias("similarity_10ppm"), "length_ratio_ppm", "shared"),
@@ -77,14 +77,14 @@ add(
 )
 add(
     "sim_all_pairs",
-    lambda s, d: duplicates.all_pairs(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))),
+    lambda s, d: duplicates.all_pairs(table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("hash")), 0.15),
     """with one as (select item_id as id, text, regexp_replace(text, '\\s\\s+', ' ', 'g') as x from benchmark), total as (select count(*) as nd from one),
       g as (select id, gram, count(*) as n from (select id, unnest(flatten([list_transform(generate_series(1, length(x) - s + 1), lambda i: x[i:i + s - 1]) for s in [3, 4, 5]])) as gram from one) group by all),
       f as (select gram, ln((1.0 + (select nd from total)) / (1 + count(*))) + 1 as idf from g group by gram), w as (select id, gram, n * idf as w from g join f using (gram)),
       l as (select id, sqrt(sum(w * w)) as len from w group by id),
       s as (select a.id as "left", b.id as "right", sum(a.w * b.w) / any_value(la.len * lb.len) as s from w a join w b on a.gram = b.gram and a.id < b.id join l la on la.id = a.id join l lb on lb.id = b.id group by all)
       select "left", "right", case when x.text = y.text then 'exact_normalized_hash' else 'text_similarity' end as reason, round(s, 6) as similarity
-      from s join one x on x.id = "left" join one y on y.id = "right" where s >= 0.8 or x.text = y.text""",
+      from s join one x on x.id = "left" join one y on y.id = "right" where s >= 0.15 or x.text = y.text""",
 )
 
 
@@ -96,8 +96,11 @@ CC = """sym as (select a, b from e union select b, a from e), reach(v, r) as (se
   comp as (select v, min(r) as component from reach group by v)"""
 add(
     "graph_components",
-    lambda s, d: connected_components(table(s, d, "events").filter("event_id % 5 = 0").select((F.col("user_id") + 1_000_000).alias("left"), (F.col("event_id") % 997).alias("right"))),
-    f"with recursive e as (select user_id + 1000000 as a, event_id % 997 as b from events where event_id % 5 = 0), {CC} select v as vertex, component from comp",
+    lambda s, d: connected_components(table(s, d, "events").select((F.col("user_id") + 1_000_000).alias("left"), (F.col("event_id") % 997).alias("right"))),
+    """with recursive e as (select distinct user_id + 1000000 as a, event_id % 997 as b from events), sym as (select a, b from e union select b, a from e),
+      comp(v, c) using key (v) as (select a, least(a, min(b)) from sym group by a union
+        select sym.a, min(comp.c) from comp join sym on sym.b = comp.v join recurring.comp as was on was.v = sym.a where comp.c < was.c group by sym.a)
+      select v as vertex, c as component from comp""",
 )
 
 
@@ -127,8 +130,8 @@ add(
 )
 add(
     "graph_label_conflicts",
-    lambda s, d: leakage.label_conflicts(keyed(s, d).join(table(s, d, "labels"), "doc_id").select(F.col("key").alias("root"), F.col("quality").alias("label"))),
-    f"with {KEYED} select key as root, count(distinct quality) as labels, count(quality) as members from keyed join labels using (doc_id) group by key having count(distinct quality) > 1",
+    lambda s, d: leakage.label_conflicts(keyed(s, d).join(table(s, d, "labels"), "doc_id").select(F.col("source").alias("root"), F.col("quality").alias("label"))),
+    f"with {KEYED} select source as root, count(distinct quality) as labels, count(quality) as members from keyed join labels using (doc_id) group by source having count(distinct quality) > 1",
 )
 add(
     "graph_crowded_components",
@@ -175,10 +178,31 @@ add(
     lambda s, d: table(s, d, "documents").select("doc_id", "source").join(table(s, d, "labels").select(F.col("doc_id").alias("l_id"), "quality"), F.col("doc_id") == F.col("l_id"), "full_outer").select(F.when(F.col("l_id").isNull(), "missing").when(F.col("doc_id").isNull(), "unexpected").otherwise("covered").alias("state")).groupBy("state").agg(F.count("*").alias("n")),
     "select case when l.doc_id is null then 'missing' when d.doc_id is null then 'unexpected' else 'covered' end as state, count(*) as n from documents d full join labels l on d.doc_id = l.doc_id group by state",
 )
+def control_rows(spark, sf, toxic):
+    """Labelled documents as cases (toxic) or controls, with a split by the id and a length band."""
+    rows = docs(spark, sf).join(table(spark, sf, "labels").filter(F.col("toxic") == toxic), "doc_id")
+    size = F.length("text")
+    return rows.select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.when(F.col("doc_id") % 3 == 0, "validation").otherwise("training").alias("split"), F.floor(F.log2(size + 1)).alias("band"), size.cast("long").alias("size"))
+
+
+def matched(spark, sf):
+    """Each case with a control of its own label and split; groups with too few controls are left out."""
+    cases, pool = control_rows(spark, sf, 1), control_rows(spark, sf, 0)
+    key = ["label", "split"]
+    enough = cases.groupBy(*key).agg(F.count("*").alias("n")).join(pool.groupBy(*key).agg(F.count("*").alias("m")), key).filter("m >= n").select(*key)
+    return sampling.nearest_controls(cases.join(enough, key, "left_semi"), pool, key, "band", "size")
+
+
+add("join_nearest_controls", matched)
+# The first step alone: the k-th case of a band by id gets its k-th control in hash order.
 add(
-    "join_nearest_controls",
-    lambda s, d: sampling.nearest_controls(*[docs(s, d).join(table(s, d, "labels").filter(f"toxic = {k}"), "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"), F.length("text").alias("size")) for k in (1, 0)], "label", "size").groupBy("label").agg(F.count("*").alias("cases"), F.count_distinct("control").alias("controls")),
-    """with c as (select quality, toxic, count(*) as n from labels join documents using (doc_id) group by all) select a.quality as label, least(a.n, b.n) as cases, least(a.n, b.n) as controls from c a join c b on a.quality = b.quality and a.toxic = 1 and b.toxic = 0""",
+    "join_banded_controls",
+    lambda s, d: matched(s, d).filter("matching = 'band'"),
+    """with r as (select doc_id as id, quality as label, case when doc_id % 3 = 0 then 'validation' else 'training' end as split, floor(log2(length(text) + 1))::bigint as band, length(text) as size, toxic from documents join labels using (doc_id)),
+      g as (select label, split from r group by all having count(*) filter (where toxic = 1) between 1 and count(*) filter (where toxic = 0)),
+      a as (select *, row_number() over (partition by label, split, band order by id) as k from r join g using (label, split) where toxic = 1),
+      b as (select *, row_number() over (partition by label, split, band order by sha256('controls|' || id)) as k from r where toxic = 0)
+      select a.id as "case", b.id as control, label, split, 'band' as matching, a.size - b.size as difference from a join b using (label, split, band, k)""",
 )
 add(
     "set_equality",

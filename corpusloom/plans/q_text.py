@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import normaliser, text, values
 
 from .registry import add
+from .tables import read_table
 
 
 def docs(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return read_table(spark, sf, "documents")
 
 
 def posts(spark, sf):
@@ -20,9 +22,30 @@ def posts(spark, sf):
 
 POSTS = r"""posts as (select doc_id, source, lang, split_part(text, chr(10), 1) as title,
   case when contains(text, chr(10)) then substr(text, instr(text, chr(10)) + 1) else '' end as body from documents)"""
+#: Rows whose keys are the same within a class: full-width and compatibility forms, case folding, controls, white space; null as empty.
+FORMS = (
+    (1, "ＡＢＣ", "x", 1), (2, "abc", "X", 1), (3, "STRASSE", "", 2), (4, "straße", "", 2), (5, "ﬁn", "Ⅳ", 3), (6, "fin", "iv", 3), (7, "a\u200bb", "c d", 4), (8, "AB", "c\u3000\tD\r\n", 4),
+    (9, "ab", "c", 5), (10, "a", "bc", 6), (11, None, "e\u0301", 7), (12, "", "É", 7), (13, "ß", "SS", 8), (14, "ss", "ẞ", 8),
+)
 NORMAL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '#([^#\n]{{1,100}})#', '[TOPIC]\1[/TOPIC]', 'g'),
   '(^|[^\p{{L}}\p{{N}}_.+@-])@[\p{{L}}\p{{N}}_·.-]*[\p{{L}}\p{{N}}_·]', '\1[MENTION]', 'g'), '[ \t]+', ' ', 'g'), '(?m) +$|^ +', '', 'g'), chr(10) || ' ')"""
-EXACT = r"sha256('T:' || regexp_replace(lower(title), '\s', '', 'g') || chr(31) || 'B:' || regexp_replace(lower(body), '\s', '', 'g'))"
+#: DuckDB has NFC, not NFKC, and lower case, not case folding: on these tables' letters only the sharp s makes a difference.
+FOLDED = r"replace(regexp_replace(lower(nfc_normalize({0})), '\s', '', 'g'), 'ß', 'ss')"
+#: Texts, what becomes of them, and how many addresses, topics, names and controls are in them.
+REPLACED = (
+    (1, "see https://a.example/x?y=1, and www.b.example.", "see [URL], and [URL].", 2, 0, 0, 0), (2, "#one two# by @ann-b- at a@b.c", "[TOPIC]one two[/TOPIC] by [MENTION]- at a@b.c", 0, 1, 1, 0),
+    (3, "a\u200bb\ufeff\x07  c\u3000d", "ab c d", 0, 0, 0, 3), (4, "x\r\n\r\r\u2028\u0085 y ", "x\n\ny", 0, 0, 0, 0), (5, None, "", 0, 0, 0, 0), (6, "HTTP://A.B/#t#", "[URL]", 1, 0, 0, 0),
+)
+_OPS = '{"ops":[%s]}'
+#: Posts that hold Delta documents, and their title, body, status, reason, text inserts and silent embeds.
+DELTAS = (
+    (1, "t", _OPS % '{"insert":"one\\n"},{"insert":{"image":"x"}},{"insert":"two","attributes":{"bold":true}},{"insert":{"cut-off":1}}', "t", "one\ntwo", "usable", "structure_usable", 2, 2),
+    (2, "\ufeff " + _OPS % '{"insert":"head"}', "plain {", "head", "plain {", "usable", "structure_usable", 1, 0), (3, "t", '{"ops": [', "t", "", "invalid", "structured_text_malformed", 0, 0),
+    (4, "t", '{"ops":{}}', "t", "", "invalid", "structured_text_operations_invalid", 0, 0), (5, "t", _OPS % '{"insert":"a"},{"retain":1}', "t", "", "invalid", "structured_text_operation_invalid", 1, 0),
+    (6, _OPS % '{"insert":{"poll":1}}', "body", "", "body", "invalid", "structured_text_embed_unsupported", 0, 0), (7, "", _OPS % '{"insert":"\u200b\ufeff"}', "", "", "invalid", "structured_text_no_text", 1, 0),
+    (8, '{"a":1}', "{plain", '{"a":1}', "{plain", "usable", "structure_usable", 0, 0), (9, "t", _OPS % "", "t", "", "invalid", "structured_text_no_text", 0, 0),
+)
+EXACT = f"sha256('T:' || {FOLDED.format('title')} || chr(31) || 'B:' || {FOLDED.format('body')})"
 
 add(
     "text_topics",
@@ -46,6 +69,11 @@ add(
     lambda s, d: posts(s, d).select("doc_id", text.exact_key(F.col("title"), F.col("body")).alias("exact_sha256")),
     f"with {POSTS} select doc_id, {EXACT} as exact_sha256 from posts",
 )
+add(
+    "text_exact_key_forms",
+    lambda s, d: s.createDataFrame(FORMS, "i int, title string, body string, class int").withColumn("key", text.exact_key(F.col("title"), F.col("body"))).select("i", "class", F.min("i").over(Window.partitionBy("key")).alias("first")),
+    "select i, class, min(i) over (partition by class) as first from (values " + ", ".join(f"({i}, {c})" for i, _, _, c in FORMS) + ") v(i, class)",
+)
 add(
     "text_structure_status",
     lambda s, d: posts(s, d).withColumn("s", text.structure_status(F.col("title"), F.col("body"), F.when(F.col("doc_id") % 7 == 0, "deleted").when(F.col("doc_id") % 7 == 1, " Partial ").otherwise("ok"))).groupBy("s.status", "s.reason").agg(F.count("*").alias("n")),
@@ -56,7 +84,18 @@ add(
 add(
     "text_replacement_counts",
     lambda s, d: docs(s, d).withColumn("c", text.replacement_counts(F.col("text"))).agg(*[F.sum(F.col("c")[k]).cast("long").alias(k) for k in ("url", "topic", "control")]),
-    r"select 0::bigint as url, sum(len(regexp_extract_all(text, '#([^#\n]{1,100})#')))::bigint as topic, 0::bigint as control from documents",
+    r"""select sum(len(regexp_extract_all(text, 'https?://[^\s<>\[\]{}()!;,@]+|www\.[^\s<>\[\]{}()!;,@]+')))::bigint as url, sum(len(regexp_extract_all(text, '#([^#\n]{1,100})#')))::bigint as topic,
+      sum(len(regexp_extract_all(text, '[\x00-\x08\x0E-\x1B\x7F]')))::bigint as control from documents""",
+)
+add(
+    "text_replacement_forms",
+    lambda s, d: s.createDataFrame([x[:2] for x in REPLACED], "i int, text string").withColumn("c", text.replacement_counts(F.col("text"))).select("i", text.normalise(F.col("text")).alias("normal"), *[F.col("c")[k].cast("long").alias(k) for k in ("url", "topic", "mention", "control")]),
+    "select * from (values " + ", ".join("({}, '{}', {}::bigint, {}::bigint, {}::bigint, {}::bigint)".format(i, n.replace("\n", "' || chr(10) || '"), *c) for i, _, n, *c in REPLACED) + ") v(i, normal, url, topic, mention, control)",
+)
+add(
+    "text_delta_forms",
+    lambda s, d: s.createDataFrame([x[:3] for x in DELTAS], "i int, title string, body string").withColumn("n", normaliser.normalised(F.col("title"), F.col("body"), F.lit("ok"))).select("i", "n.title", "n.body", "n.status", "n.reason", "n.inserts", F.col("n.ignored_embeds").alias("embeds")),
+    "select * from (values " + ", ".join("({}, '{}', '{}', '{}', '{}', {}, {})".format(i, *[x.replace("\n", "' || chr(10) || '") for x in want[:4]], *want[4:]) for i, _, _, *want in DELTAS) + ") v(i, title, body, status, reason, inserts, embeds)",
 )
 add("text_normalised_posts", lambda s, d: posts(s, d).select("doc_id", normaliser.normalised(F.col("title"), F.col("body"), F.lit("ok")).alias("n")).select("doc_id", "n.model_sha256", "n.exact_sha256", "n.status", "n.mentions", "n.topics", "n.emoji"))
 add(
@@ -68,9 +107,9 @@ add(
 )
 add(
     "text_evidence_spans",
-    lambda s, d: posts(s, d).withColumn("quote", F.substring(F.col("body"), 5, 24)).withColumn("e", text.evidence_span(F.col("body"), F.col("quote"))).filter("length(quote) = 24").select("doc_id", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end")),
-    f"""with {POSTS}, q as (select doc_id, body, substr(body, 5, 24) as quote from posts), f as (select *, (length(body) - length(replace(body, quote, ''))) / 24 as n from q where length(quote) = 24)
-      select doc_id, case when n = 1 then instr(body, quote) - 1 end::bigint as start, case when n = 1 then instr(body, quote) + 23 end::bigint as "end" from f""",
+    lambda s, d: posts(s, d).withColumn("quote", F.nullif(F.substring(F.col("body"), 5, 24), F.lit(""))).withColumn("e", text.evidence_span(F.col("body"), F.col("quote"))).select("doc_id", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end")),
+    f"""with {POSTS}, q as (select doc_id, body, nullif(substr(body, 5, 24), '') as quote from posts), f as (select *, instr(substr(body, instr(body, quote) + 1), quote) = 0 as single from q)
+      select doc_id, case when single then instr(body, quote) - 1 end::bigint as start, case when single then instr(body, quote) + length(quote) - 1 end::bigint as "end" from f""",
 )
 add(
     "text_pipe_codes",
@@ -86,7 +125,7 @@ add(
 )
 add(
     "text_title_fallback",
-    lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.coalesce(F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)), F.lit("")), F.col("url")).alias("title")),
+    lambda s, d: read_table(s, d, "pages").select("page_id", F.coalesce(F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)), F.lit("")), F.col("url")).alias("title")),
     "select page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), ''), url) as title from pages",
 )
 add(
@@ -108,7 +147,7 @@ add("ids_pseudonym", lambda s, d: docs(s, d).select("doc_id", values.pseudonym(b
 add("ids_seventeen_digits", lambda s, d: docs(s, d).select("doc_id", values.seventeen_digits(values.pseudo_probability(F.col("doc_id"))).alias("digits")))
 add(
     "numbers_dates",
-    lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", values.own_date(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))).cast("string").alias("day"), values.own_date(F.col("event_type")).cast("string").alias("none")),
+    lambda s, d: read_table(s, d, "events").select("event_id", values.own_date(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))).cast("string").alias("day"), values.own_date(F.col("event_type")).cast("string").alias("none")),
     "select event_id, strftime(ts, '%Y-%m-%d') as day, null::varchar as none from events",
 )
 add(
@@ -126,13 +165,13 @@ add(
 )
 add(
     "vectors_projection",
-    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").withColumn("u", values.project(F.col("embedding"), 16)).select("vec_id", F.size("u").cast("long").alias("n"), F.round(F.col("u")[0], 5).alias("first"), values.is_unit(F.col("u")).alias("is_unit"), F.round(values.norm(F.col("embedding")), 4).alias("norm")),
+    lambda s, d: read_table(s, d, "embeddings").withColumn("u", values.project(F.col("embedding"), 16)).select("vec_id", F.size("u").cast("long").alias("n"), F.round(F.col("u")[0], 5).alias("first"), values.is_unit(F.col("u")).alias("is_unit"), F.round(values.norm(F.col("embedding")), 4).alias("norm")),
     """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select vec_id, v, sqrt(list_sum(list_transform(v[1:16], lambda x: x * x))) as n from e)
       select vec_id, 16::bigint as n, round(v[1] / n, 5) as first, true as is_unit, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) as norm from u""",
 )
 add(
     "vectors_chunk_ranges",
-    lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.posexplode(values.chunk_ranges(F.length("text"), 128)).alias("k", "r")).select("conv_id", "turn", F.col("k").cast("long").alias("k"), "r.start", "r.end"),
+    lambda s, d: read_table(s, d, "conversations").select("conv_id", "turn", F.posexplode(values.chunk_ranges(F.length("text"), 128)).alias("k", "r")).select("conv_id", "turn", F.col("k").cast("long").alias("k"), "r.start", "r.end"),
     """with c as (select conv_id, turn, length(text) as n from conversations), s as (select *, unnest(generate_series(0, greatest(0, (n - 1) // 128))) as k from c where n > 0)
       select conv_id, turn, k::bigint as k, (128 * k)::bigint as start, least(128 * k + 128, n)::bigint as "end" from s""",
 )
@@ -145,7 +184,7 @@ add(
 
 def chunk_mean(spark, sf):
     """The mean of a group's vectors, of length one: averages per dimension, combined before the shuffle."""
-    long = spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.posexplode("embedding").alias("k", "x"))
+    long = read_table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("k", "x"))
     mean = long.groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
     whole = mean.groupBy("label").agg(F.sum(F.col("x") * F.col("x")).alias("n"))
     return mean.join(whole, "label").select("label", F.col("k").cast("long").alias("k"), F.round(F.col("x") / F.sqrt("n"), 4).alias("x"))

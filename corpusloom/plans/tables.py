@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder. One that is read by fewer tasks than there are cores (one row group, say) is dealt over all of them."""
+    rows, cores = spark.read.parquet(f"{folder}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def stage(df: DataFrame, label: str, compression: str = "zstd", sweep: bool = False) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
