@@ -1,24 +1,35 @@
-"""Exact dedup: a tree-merge of digest runs, in DataFrame operations only.
+"""Exact dedup: a tree-merge of sorted digest runs, in DataFrame operations only.
 
 Every row is reduced to a digest of its normalised text and dealt to one of
 ``runs`` runs by its id. A run holds each digest once, with the smallest
-identifier and a count. In every round ``fan_in`` runs meet and are merged,
-until one is left; the verdicts then go down the same tree. A key of a
-level-0 exchange is (run, digest), so a text that a third of all rows share is
-spread over all runs, and each later level gets one row for it from each run.
+identifier and a count, sorted by digest. The runs are merged in the rounds of a
+binomial tree: in round k, of each ``fan_in`` runs whose numbers agree but for
+digit k, the others send theirs to the lowest; there all are merged in the order
+of the digests, and of neighbours with one verified digest the smallest
+identifier stays. When one run is left, the verdicts go down the same tree. Equal
+digests of a round stem from different runs, so a text that a third of all rows
+share is spread over all runs at first, and ``fan_in`` rows at most meet for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACES, stage
+from .shared import SPACES, read_table, stage
 
 _KEY = ["__sha", "__check", "__bytes"]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8, carry: bool = False) -> DataFrame:
+def _merge(runs: DataFrame, stride: int) -> DataFrame:
+    """Sends the runs to the lowest of each ``stride`` and merges them there, sorted by digest, with the smallest identifier first."""
+    met = runs.withColumn("__run", F.expr(f"__run - __run % {stride}"))
+    of = Window.partitionBy("__run", *_KEY)
+    sorted_ = of.orderBy(F.col("__keep_id").asc_nulls_last(), "__keep_n")
+    return met.withColumns({"__at": F.row_number().over(sorted_), "__size": F.sum("__size").over(of)}).filter("__at = 1").drop("__at")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 4, carry: bool = False) -> DataFrame:
     """Finds equal texts; of each group the row with the smallest id stays.
 
     Texts are equal when identical after replacing each run of white space
@@ -43,17 +54,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(text).alias("__bytes"),
     )
     base = stage(hashed.withColumn("__run", F.pmod(F.xxhash64("__id", "__n"), F.lit(runs)).cast("int")), "exact-rows")
-    up = [("__keep_id", F.min("__keep_id")), ("__keep_n", F.coalesce(F.min_by("__keep_n", "__keep_id"), F.min("__keep_n"))), ("__size", F.sum("__size"))]
-    level = base.select("__run", *_KEY, F.col("__id").alias("__keep_id"), F.col("__n").alias("__keep_n"), F.lit(1).cast("long").alias("__size"))
-    levels = [stage(level.groupBy("__run", *_KEY).agg(*[c.alias(n) for n, c in up]), "exact-run")]
-    left = runs
-    while left > 1:
-        left = -(-left // fan_in)
-        met = levels[-1].withColumn("__run", F.expr(f"cast(__run div {fan_in} as int)"))
-        levels.append(stage(met.groupBy("__run", *_KEY).agg(*[c.alias(n) for n, c in up]), "exact-run"))
-    verdict = levels.pop().filter("__size > 1").drop("__run").withColumn("__run", F.lit(0))
+    least = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__n").alias("n")))
+    first = base.groupBy("__run", *_KEY).agg(least.alias("__keep"), F.count(F.lit(1)).alias("__size"))
+    first = first.select("__run", *_KEY, F.col("__keep.id").alias("__keep_id"), F.col("__keep.n").alias("__keep_n"), "__size")
+    levels, strides = [stage(first.sortWithinPartitions("__run", *_KEY), "exact-run", sweep=True)], [1]
+    while strides[-1] < runs:
+        strides.append(strides[-1] * fan_in)
+        levels.append(stage(_merge(levels[-1], strides[-1]), "exact-run", sweep=True))
+    verdict = levels.pop().filter("__size > 1")
     while levels:
-        below = levels.pop().select(F.expr(f"cast(__run div {fan_in} as int)").alias("__above"), F.col("__run").alias("__own"), *_KEY)
+        below = levels.pop().select(F.expr(f"__run - __run % {strides.pop()}").alias("__above"), F.col("__run").alias("__own"), *_KEY)
         verdict = below.join(verdict.withColumnRenamed("__run", "__above"), ["__above", *_KEY]).drop("__above").withColumnRenamed("__own", "__run")
     out = base.join(verdict, ["__run", *_KEY], "left")
     kept = F.coalesce(F.col("__n") == F.col("__keep_n"), F.lit(True)).alias("kept")
@@ -74,7 +84,7 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
