@@ -11,8 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import read_table
+
 #: Strings that steer common chat models; none of them appears within a formatted text.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+#: The marks of the template.
+OPEN, NAMED, SEP, END = "<|role:", "|>\n", "<|sep|>", "<|end|>\n"
+#: Values that a step over an array takes at once.
+CUT = 256
 
 
 def escape(text: Column, control: tuple[str, ...] = CONTROL) -> Column:
@@ -24,13 +30,24 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _cut(values: Column) -> Column:
+    """An array as an array of arrays of up to ``CUT`` values, so that no step works on all that came before it."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / CUT).cast("int")), lambda c: F.slice(values, c * CUT + 1, CUT))
+
+
+def _sums(values: Column) -> Column:
+    """(total, the sum before each value) of an array."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("before"))
+    return F.aggregate(values, start, lambda a, x: F.struct((a.total + x).alias("total"), F.concat(a.before, F.array(a.total)).alias("before")))
+
+
 def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_spans``.
 
     Turns are sorted by turn, then role, then text; adjacent turns of one role
-    share a block. ``loss_spans`` holds, for each text of a role in ``learn``,
-    its start and length in code points of ``formatted``; the marks are not
-    learned.
+    are merged into a block. ``loss_spans`` holds, for each text of a role in
+    ``learn``, its start and length in code points of ``formatted``; the marks
+    are not learned. The work is in proportion to a conversation's turns.
 
     Nulls: a null text counts as empty, a null role as an empty one; a null
     turn comes first; a null ``conv_id`` is a conversation of its own. Repeated
@@ -38,62 +55,62 @@ def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
     columns are ignored. One conversation is one row, so it is sorted in one task.
     """
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    n = F.size("t")
-    marked = gathered.withColumn("t", F.transform("t", lambda x: F.struct(x.role.alias("role"), escape(x.text).alias("text"))))
-    # The marks before and after each text say whether it opens or closes a block.
-    marked = marked.select(
-        "conv_id",
-        F.transform(
-            "t",
-            lambda x, i: F.struct(
-                F.when((i > 0) & (F.get(F.col("t.role"), i - 1) == x.role), F.lit("<|sep|>")).otherwise(F.concat(F.lit("<|role:"), escape(x.role), F.lit("|>\n"))).alias("before"),
-                x.text.alias("text"),
-                F.when((i < n - 1) & (F.get(F.col("t.role"), i + 1) == x.role), F.lit("")).otherwise(F.lit("<|end|>\n")).alias("after"),
-                x.role.isin(*learn).alias("learn"),
-            ),
-        ).alias("t"),
-    )
-    formatted = F.array_join(F.transform("t", lambda x: F.concat(x.before, x.text, x.after)), "")
-    start = F.aggregate(
-        "t",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda a, x: F.struct(
-            (a.at + F.length(x.before) + F.length(x.text) + F.length(x.after)).cast("long").alias("at"),
-            F.when(x.learn, F.concat(a.spans, F.array(F.struct((a.at + F.length(x.before)).cast("long").alias("start"), F.length(x.text).cast("long").alias("length"))))).otherwise(a.spans).alias("spans"),
-        ),
-    )
-    return marked.select("conv_id", formatted.alias("formatted"), start.spans.alias("loss_spans"))
+    out = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    out = out.select("conv_id", F.col("t.role").alias("roles"), F.transform("t.text", lambda x: escape(x)).alias("texts"))
+    # Where the role differs from the one before a block starts; the array of its texts is merged.
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("roles", 1, F.size("roles") - 1))
+    opens = F.zip_with("roles", before, lambda x, y: ~x.eqNullSafe(y))
+    out = out.withColumn("starts", F.filter(F.transform(opens, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull()))
+    out = out.withColumn("ends", F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("roles") + 1)))
+    merged = F.zip_with("starts", "ends", lambda a, b: F.struct(F.get("roles", a - 1).alias("role"), F.slice("texts", a, b - a).alias("texts")))
+    blocks = F.transform(merged, lambda b: F.struct(F.concat(F.lit(OPEN), escape(b.role), F.lit(NAMED)).alias("head"), b.role.isin(*learn).alias("learn"), b.texts.alias("texts")))
+    out = out.select("conv_id", blocks.alias("blocks"))
+    formatted = F.array_join(F.transform("blocks", lambda b: F.concat(b.head, F.array_join(b.texts, SEP), F.lit(END))), "")
+    # Each text with the code points before it since the last text began, and those behind the last.
+    texts = F.flatten(F.transform("blocks", lambda b: F.transform(b.texts, lambda x, i: F.struct(
+        F.when(i == 0, F.length(b.head)).otherwise(len(SEP)).alias("mark"), F.length(x).alias("n"),
+        F.when(i == F.size(b.texts) - 1, len(END)).otherwise(0).alias("close"), b.learn.alias("learn"),
+    ))))
+    out = out.select("conv_id", formatted.alias("formatted"), texts.alias("x"))
+    out = out.withColumn("sums", F.transform(_cut(F.transform("x", lambda x: (x.mark + x.n + x.close).cast("long"))), _sums))
+    out = out.withColumn("bases", _sums(F.col("sums.total")).before)
+    at = F.flatten(F.zip_with("sums", "bases", lambda s, base: F.transform(s.before, lambda x: x + base)))
+    spans = F.zip_with("x", at, lambda x, a: F.when(x.learn, F.struct((a + x.mark).alias("start"), x.n.cast("long").alias("length"))))
+    return out.select("conv_id", "formatted", F.filter(spans, lambda s: s.isNotNull()).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation, as an array of (role, text, raw): raw as it stands there."""
     blocks = F.filter(F.split(formatted, r"<\|end\|>\n", -1), lambda b: b != "")
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.substring(b, F.instr(b, "|>\n") + 3, F.length(b)), r"<\|sep\|>", -1),
-                lambda x: F.struct(unescape(F.substring(b, F.lit(8), F.instr(b, "|>\n") - 8)).alias("role"), unescape(x).alias("text"), x.alias("raw")),
-            ),
-        )
+    named = F.transform(
+        blocks,
+        lambda b: F.struct(
+            unescape(F.substring(b, F.lit(len(OPEN) + 1), F.instr(b, NAMED) - len(OPEN) - 1)).alias("role"),
+            F.split(F.substring(b, F.instr(b, NAMED) + len(NAMED), F.length(b)), r"<\|sep\|>", -1).alias("texts"),
+        ),
     )
+    return F.flatten(F.transform(named, lambda b: F.transform(b.texts, lambda x: F.struct(b.role.alias("role"), unescape(x).alias("text"), x.alias("raw")))))
+
+
+def masked(formatted: Column, spans: Column) -> Column:
+    """The texts that the spans cut out of a formatted conversation, unescaped, as an array."""
+    stretch = lambda part: F.substring(formatted, (F.get(part, 0).start + 1).cast("int"), (F.element_at(part, -1).start + F.element_at(part, -1).length - F.get(part, 0).start).cast("int"))
+    parts = F.transform(F.filter(_cut(spans), lambda part: F.size(part) > 0), lambda part: F.struct(stretch(part).alias("text"), F.get(part, 0).start.alias("base"), part.alias("spans")))
+    cut = lambda p: F.transform(p.spans, lambda s: unescape(F.substring(p.text, (s.start - p.base + 1).cast("int"), s.length.cast("int"))))
+    return F.flatten(F.transform(parts, cut))
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql("select -1L conv_id, stack(2, 0L, 'user', '</s>[INST] ok [/INST]', 1L, 'assistant', '</s>[INST] ok [/INST]') as (turn, role, text)")
     chats = format_chats(turns.unionByName(planted)).withColumn("t", read_back(F.col("formatted")))
-    learned = F.filter("t", lambda x: x.role == "assistant")
-    # The texts under the mask, each held against its span.
-    masked = F.zip_with(learned, F.col("loss_spans"), lambda x, s: F.when(F.length(x.raw) == s.length, x.text).otherwise(F.raise_error(F.lit("a text and its span differ"))))
-    loss = F.array_join(masked, "")
+    chats = chats.withColumn("loss", F.array_join(masked(F.col("formatted"), F.col("loss_spans")), ""))
     return chats.select(
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "").cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
