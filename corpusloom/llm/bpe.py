@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, mix, powers, slices
+from .kernel import piece_codes, slices
+from .shared import read_table
 
 #: Entries that the caches of a worker hold at most (some 100 MB); full caches start anew.
 CACHE = 300_000
@@ -218,11 +219,8 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary):
     first = heads[offsets]
     starts = piece_starts(codes, first)
     ends = np.append(starts[1:], len(codes))[: len(starts)]
-    up, down = powers(0x2545F4914F6CDD1D, len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, U)
-    np.cumsum((codes.astype(U) + U(7)) * U(0x9E3779B97F4A7C15) * up[:-1], out=sums[1:])
-    hashed = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
-    _, one, back = np.unique(hashed, return_index=True, return_inverse=True)
+    byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    _, one, back = np.unique(piece_codes(data, byte[starts], byte[ends]), return_index=True, return_inverse=True)
     known = [vocab.pieces[text[a:b]] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
     ids, made = np.empty(len(known), object), np.empty(len(known), object)
     ids[:], made[:] = [x[0] for x in known], [x[2] for x in known]
@@ -264,4 +262,4 @@ def bpe_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
-    return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return bpe_digests(read_table(spark, sf_dir, "documents"))

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SEPARATOR, Words, slices
-from .shared import join_by_source, stage
+from .kernel import SEPARATOR, Words, piece_codes, slices
+from .shared import join_by_source, read_table, stage
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -38,12 +38,14 @@ def _measure(batches):
                 lines = [x for x in raw[a:b].split(b"\n") if x.strip()]
                 dup.append(len(lines) - len(set(lines)))
             parts["n_dup_lines"].append(np.array(dup, np.int64))
-            grams, whole = words.grams(3)
-            text_of = np.repeat(np.arange(len(words.n), dtype=np.uint64), words.n)
-            at = np.flatnonzero(whole)
-            _, back, times = np.unique(grams[at] ^ (text_of[at] * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
-            again = at[times[back] > 1]
-            covered = np.zeros(len(words.hash), bool)
+            # Words are numbered by their bytes, windows by their words' numbers, so that equal numbers are equal windows.
+            one = np.unique(piece_codes(data, words.start, words.end), return_inverse=True)[1]
+            at = np.flatnonzero(words.whole(3))
+            key = np.repeat(np.arange(len(words.n)), words.n)[at]
+            for k in range(3):
+                key = np.unique(key * (len(one) + 1) + one[at + k], return_inverse=True)[1]
+            again = at[np.bincount(key)[key] > 1] if len(at) else at
+            covered = np.zeros(len(one), bool)
             for k in range(3):
                 covered[again + k] = True
             parts["n_repeat_words"].append(_per_text(covered, words.first))
@@ -95,7 +97,7 @@ def host_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int =
 
 
 def op5_host_quality(spark, sf_dir: str) -> DataFrame:
-    return host_quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("host_rate")
+    return host_quality(read_table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import hash_unit, join_by_source, n_words, stage
+from .shared import hash_unit, join_by_source, n_words, read_table, stage
 
 
 def source_rates(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -67,7 +67,7 @@ def take_copies(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select(
         "doc_id",
         F.col("__size").alias("size"),

@@ -95,7 +95,7 @@ def repeats_for(recall: float, similarity: float) -> int:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int):
     """The set of each text: sorted distinct 64-bit hashes of its shingles of ``size`` words."""
     words = Words(data, offsets, lower=True)
-    grams, _ = words.grams(size)
+    grams = words.grams(size)
     for a, n in zip(words.first[:-1].tolist(), words.n.tolist()):
         if n >= size:
             yield np.unique(grams[a : a + n - size + 1])

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import read_table, stage
 
 #: Bits of the hash (15 hexadecimal digits of an MD5).
 BITS = 60
@@ -89,7 +89,7 @@ def write_shards(docs: DataFrame, path: str, limit: int = 4 << 20) -> None:
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
-    return shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shard(read_table(spark, sf_dir, "documents"))
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.tables import stage  # noqa: F401  the operators take it from here
+from corpusloom.plans.tables import read_table, stage, unstage  # noqa: F401  the operators take them from here
 
 #: Tables of one row per source (host) are broadcast up to so many rows, some 10 MB.
 BROADCAST_ROWS = 100_000

@@ -8,14 +8,14 @@ first place and a rolling run equal to it at the other. Three passes:
 1. Each chunk sends the fingerprints of all its rolling runs, once each, to
    buckets by the leading bits of their hash, with a flag for reference blocks.
    A bucket answers which runs meet a block of another place.
-2. The hits are extended: of the windows with a hit, each chunk sends the 64-bit
+2. The hits are extended: of the windows with a hit, each chunk sends the 128-bit
    hashes, once each, with the first id. A bucket answers which chunks do not
    hold the first place.
 3. Each chunk marks the windows that are not first, joins overlapping ones into
    maximal repeats, and drops their words.
 
 A fingerprint that agrees by chance only costs an answer in pass 1; what is
-dropped rests on the windows' own hashes. A passage that a third of all
+dropped rests on the windows' own 128-bit hashes. A passage that a third of all
 texts share is sent once per chunk, so it makes no large group.
 """
 
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, Words, slices
-from .shared import stage
+from .shared import read_table, stage
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and words per bucket; a task holds one of either at a time.
-CHUNK_BYTES, BUCKET_WORDS = 1 << 20, 1_000_000
+CHUNK_BYTES, BUCKET_WORDS = 1 << 20, 250_000
+#: Tasks of a shuffle at most; beyond, a task takes several buckets, one after another.
+TASKS = 1 << 14
 _FINGER = 30
 _NULL_ID = np.iinfo(np.int64).max
 
@@ -57,6 +59,14 @@ def _pack(batches):
             )
 
 
+def _rows(batches):
+    """Rows one by one; what Arrow freed of a task's batches goes back, as workers live on."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
+    pa.default_memory_pool().release_unused()
+
+
 class _Chunk:
     """A chunk's words, rolling runs and, with the answers, its marked windows."""
 
@@ -69,8 +79,7 @@ class _Chunk:
 
     def runs(self):
         """The rolling runs: their places, their distinct fingerprints, and which one each has."""
-        hashes, whole = self.words.grams(self.block)
-        at = np.flatnonzero(whole)
+        hashes, at = self.words.grams(self.block), np.flatnonzero(self.words.whole(self.block))
         found, back, times = np.unique(hashes[at] >> U(64 - self.bits - _FINGER), return_inverse=True, return_counts=True)
         return at, found, back, times
 
@@ -84,35 +93,48 @@ class _Chunk:
         yield from _parts(found >> U(_FINGER), entries.astype(np.uint32))
 
     def windows(self, answers: dict[int, bytes]):
-        """Windows with a hit: their places, distinct hashes, the first place of each, and which one each has."""
+        """Windows with a hit: their places, distinct hashes (two lanes), the first place of each, and which one each has."""
         at, found, back, _ = self.runs()
-        hit = np.zeros(len(self.words.hash) + 1, np.int64)
+        hit = np.zeros(len(self.words.start) + 1, np.int64)
         hit[1:][at] = _unpack(answers, found >> U(_FINGER))[back]
         hits = np.cumsum(hit)
-        hashes, whole = self.words.grams(self.window)
-        starts = np.arange(len(hashes))
-        reach = self.window - self.block + 1
-        places = np.flatnonzero(whole & (hits[starts + reach] > hits[starts])) if len(hashes) else starts
-        return (places, *np.unique(hashes[places], return_index=True, return_inverse=True))
+        whole, reach = self.words.whole(self.window), self.window - self.block + 1
+        starts = np.arange(len(whole))
+        places = np.flatnonzero(whole & (hits[starts + reach] > hits[starts])) if len(whole) else starts
+        one, two = (self.words.grams(self.window, lane)[places] if len(places) else np.zeros(0, U) for lane in (0, 1))
+        order, new = _runs(one, two)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        first = order[new]
+        return places, one[first], two[first], first, back
 
     def firsts(self, answers: dict[int, bytes]):
-        """(bucket, window hashes, ids of their first places)."""
-        places, found, first, _ = self.windows(answers)
+        """(bucket, window hashes in two lanes, ids of their first places)."""
+        places, found, second, first, _ = self.windows(answers)
         text = np.searchsorted(self.words.first, places[first], "right") - 1
         ids = np.array([_NULL_ID if i is None else i for i in self.ids], np.int64)[text]
-        for (bucket, hashes), (_, own) in zip(_parts(found >> U(64 - self.bits), found), _parts(found >> U(64 - self.bits), ids)):
-            yield bucket, hashes, own
+        buckets = found >> U(64 - self.bits)
+        for (bucket, one), (_, two), (_, own) in zip(*[_parts(buckets, x) for x in (found, second, ids)]):
+            yield bucket, one, two, own
 
     def removed(self, hits: dict[int, bytes], later: dict[int, bytes]) -> np.ndarray:
         """Which words a window covers that also starts earlier."""
-        places, found, first, back = self.windows(hits)
+        places, found, _, first, back = self.windows(hits)
         marked = places[(np.arange(len(places)) != first[back]) | _unpack(later, found >> U(64 - self.bits))[back]]
-        edges = np.zeros(len(self.words.hash) + 1, np.int64)
+        edges = np.zeros(len(self.words.start) + 1, np.int64)
         np.add.at(edges, marked, 1)
         np.add.at(edges, marked + self.window, -1)
         return np.cumsum(edges[:-1]) > 0
 
 
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by the keys, places in order among equals, and where in it new values begin."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, new
+
+
 def _parts(buckets: np.ndarray, values: np.ndarray):
     """The runs of equal (sorted) bucket numbers."""
     cuts = np.concatenate([[0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1, [len(buckets)]]) if len(buckets) else [0]
@@ -143,8 +165,18 @@ _ANSWERS = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa
 _ANSWER_DDL = "chunk bigint, kind int, bucket bigint, bits binary"
 
 
-def _by_bucket(batches, *columns: tuple[str, np.dtype]):
-    """The rows of one bucket at a time (they come sorted): bucket, chunks and an array per row and column."""
+def _narrow(ids: np.ndarray) -> dict:
+    """Ids as the least one and what they exceed it by, in 4 bytes each where that fits, else in 8."""
+    over = (ids - ids.min()).view(U)
+    return {"base": int(ids.min()), "firsts": over.astype(np.uint32 if over.max() < 1 << 32 else U).tobytes()}
+
+
+def _widen(base: int, firsts: np.ndarray, n: int) -> np.ndarray:
+    return (firsts.view(np.uint32 if len(firsts) == 4 * n else U).astype(U) + U(base & (1 << 64) - 1)).view(np.int64)
+
+
+def _by_bucket(batches, *columns: tuple[str, np.dtype | None]):
+    """The rows of one bucket at a time (they come sorted): bucket, chunks and, per column, an array (or number) per row."""
     bucket, chunks, held = None, [], [[] for _ in columns]
     for batch in batches:
         at = batch.column("bucket").to_numpy()
@@ -156,9 +188,10 @@ def _by_bucket(batches, *columns: tuple[str, np.dtype]):
                 bucket, chunks, held = int(at[i]), [], [[] for _ in columns]
             chunks.append(int(chunk[i]))
             for own, (name, kind) in zip(held, columns):
-                own.append(np.frombuffer(batch.column(name)[i].as_buffer(), kind))
+                own.append(np.frombuffer(batch.column(name)[i].as_buffer(), kind) if kind else batch.column(name)[i].as_py())
     if chunks:
         yield bucket, chunks, held
+    pa.default_memory_pool().release_unused()
 
 
 def _meet_blocks(batches):
@@ -178,12 +211,13 @@ def _meet_blocks(batches):
 
 def _meet_windows(batches):
     """Which of the chunks' windows have their first place in another chunk."""
-    for bucket, chunks, (hashes, ids) in _by_bucket(batches, ("hashes", U), ("firsts", np.int64)):
-        lengths = [len(x) for x in hashes]
-        hashes, ids = np.concatenate(hashes), np.concatenate(ids)
-        order = np.lexsort((np.repeat(np.array(chunks, np.int64), lengths), ids, hashes))
+    for bucket, chunks, (one, two, bases, ids) in _by_bucket(batches, ("one", U), ("two", U), ("base", None), ("firsts", np.uint8)):
+        lengths = [len(x) for x in one]
+        ids = [_widen(*x) for x in zip(bases, ids, lengths)]
+        one, two, ids = np.concatenate(one), np.concatenate(two), np.concatenate(ids)
+        order = np.lexsort((np.repeat(np.array(chunks, np.int64), lengths), ids, two, one))
         flags = np.empty(len(order), bool)
-        flags[order] = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]])
+        flags[order] = np.concatenate([[False], (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])])
         yield from _answer(bucket, chunks, lengths, flags, 1)
 
 
@@ -204,33 +238,31 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     chunks = stage(rows.mapInArrow(_pack, "chunk bigint, words bigint, ids array<bigint>, lengths array<bigint>, blob binary"), "substring-chunks", "none")
     words = chunks.agg(F.sum("words")).first()[0] or 0
     bits = max(7, math.ceil(math.log2(max(1, words / BUCKET_WORDS))))
+    tasks = min(TASKS, 1 << max(6, bits - 2))
 
     def probe(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = [{"bucket": b, "chunk": row["chunk"], "entries": e.tobytes()} for b, e in _Chunk(row, window, bits).probes()]
-                yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("entries", pa.binary())]))
+        for row in _rows(batches):
+            found = [{"bucket": b, "chunk": row["chunk"], "entries": e.tobytes()} for b, e in _Chunk(row, window, bits).probes()]
+            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("entries", pa.binary())]))
 
     def extend(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                hits = {x["bucket"]: x["bits"] for x in row["answers"]}
-                found = [{"bucket": b, "chunk": row["chunk"], "hashes": h.tobytes(), "firsts": i.tobytes()} for b, h, i in _Chunk(row, window, bits).firsts(hits)]
-                yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("firsts", pa.binary())]))
+        for row in _rows(batches):
+            hits = {x["bucket"]: x["bits"] for x in row["answers"]}
+            found = [{"bucket": b, "chunk": row["chunk"], "one": x.tobytes(), "two": y.tobytes()} | _narrow(i) for b, x, y, i in _Chunk(row, window, bits).firsts(hits)]
+            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("base", pa.int64()), ("firsts", pa.binary())]))
 
     def drop(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row, window, bits)
-                answers = row["answers"] or []
-                gone = chunk.removed(*[{x["bucket"]: x["bits"] for x in answers if x["kind"] == k} for k in (0, 1)]) if answers else np.zeros(len(chunk.words.hash), bool)
-                yield _kept(chunk, gone, keep_text)
-
-    entries = chunks.mapInArrow(probe, "bucket bigint, chunk bigint, entries binary").repartition(1 << max(6, bits - 2), "bucket").sortWithinPartitions("bucket")
-    hits = stage(entries.mapInArrow(_meet_blocks, _ANSWER_DDL), "substring-hits")
+        for row in _rows(batches):
+            chunk = _Chunk(row, window, bits)
+            answers = row["answers"] or []
+            gone = chunk.removed(*[{x["bucket"]: x["bits"] for x in answers if x["kind"] == k} for k in (0, 1)]) if answers else np.zeros(len(chunk.words.start), bool)
+            yield _kept(chunk, gone, keep_text)
+
+    entries = chunks.mapInArrow(probe, "bucket bigint, chunk bigint, entries binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    hits = stage(entries.mapInArrow(_meet_blocks, _ANSWER_DDL), "substring-hits", sweep=True)
     per_chunk = F.collect_list(F.struct("kind", "bucket", "bits")).alias("answers")  # a bit per distinct run of one chunk
-    firsts = chunks.join(hits.groupBy("chunk").agg(per_chunk), "chunk").mapInArrow(extend, "bucket bigint, chunk bigint, hashes binary, firsts binary")
-    later = stage(firsts.repartition(1 << max(6, bits - 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_windows, _ANSWER_DDL), "substring-later")
+    firsts = chunks.join(hits.groupBy("chunk").agg(per_chunk), "chunk").mapInArrow(extend, "bucket bigint, chunk bigint, one binary, two binary, base bigint, firsts binary")
+    later = stage(firsts.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_windows, _ANSWER_DDL), "substring-later", sweep=True)
     answered = chunks.join(hits.union(later).groupBy("chunk").agg(per_chunk), "chunk", "left")
     spans = "removed array<struct<start:bigint,end:bigint>>"
     return answered.mapInArrow(drop, f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, {spans}" + (", kept_text string" if keep_text else ""))
@@ -257,4 +289,4 @@ def _kept(chunk: _Chunk, gone: np.ndarray, keep_text: bool) -> pa.RecordBatch:
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("removed")
+    return substring_dedup(read_table(spark, sf_dir, "documents")).drop("removed")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, stage
+from .shared import BROADCAST_ROWS, read_table, stage
 
 #: Labelled rows used for fitting (about), features for each category, folds, and the least number of texts with a feature.
 SAMPLE, FEATURES, FOLDS, LEAST = 10_000, 600, 5, 5
@@ -230,6 +230,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    chain = fit_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), categories())
+    docs = read_table(spark, sf_dir, "documents")
+    chain = fit_chain(docs, read_table(spark, sf_dir, "labels"), categories())
     return judge(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
