@@ -5,23 +5,24 @@ of each of several independent trees a text goes down one or two branches per
 node: the node's own hash chooses coordinates, and the text's minwise tokens
 there name the branches. On average 1 / threshold coordinates are chosen, so
 that a pair at the threshold is expected to share one branch per level, while
-pairs far below it part soon. Every ``STEP`` levels the nodes are counted:
-
-* in every node each text meets the node's head (its least class), which ties
-  large groups of copies together with one pair a member;
-* a node of up to ``LEAF`` texts is compared exhaustively, without pairs that
-  are already tied; what is found are pairs of tied groups that may be linked;
-* in a larger node with up to ``LEAF`` texts outside its largest tied group,
-  these are compared exhaustively, and their groups held against the largest one;
-* any other node whose texts are not all tied yet is branched further, several
-  times independently, so that depth costs no recall.
-
-A pair is compared by a 128-bit sketch of the same tokens first. What passes is
-confirmed on the full sets, computed from the whole texts: heads one by one,
-groups in blocks, the smaller group against each block of the larger one, so
-that neither the pairs of a crowd become rows nor a crowd meets in one task.
-Texts with equal sets are one class from the start. The numbers of trees and of
-repeats follow from the recall.
+pairs far below it part soon. Every ``STEP`` levels the nodes are counted, and
+those with one text go:
+
+* in every node each text meets the node's head (its least text), which ties
+  large groups of copies together with one comparison a text;
+* in a node whose texts are not all tied yet, those outside its largest tied
+  group are compared exhaustively with all texts of the node. Where these are
+  up to ``LEAF``, a node of any size is cut into blocks that the few meet one by
+  one, so rows and memory stay in proportion to the texts;
+* any other node is branched further, several times independently, so that depth
+  costs no recall. What ``ROUNDS`` rounds leave undivided is compared in blocks
+  against blocks.
+
+Heads are compared by a 128-bit sketch of the same tokens first; all else, and
+what passes the sketch, on the full sets of the whole texts, within the node's
+task: no pair becomes a row unless it is a link that ties two groups. Texts with
+equal sets are one from the start. The numbers of trees and of repeats follow
+from the recall.
 """
 
 from __future__ import annotations
@@ -32,23 +33,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.components import connected_components
 
 from .kernel import U, Words, mix, slices
-from .shared import SALTS, stage
-
-COORDINATES, STEP, LEAF, BLOCK = 128, 4, 4096, 500
-#: After so many rounds of branching the nodes that are left are compared exhaustively, whatever their size.
-ROUNDS = 8
+from .shared import read_table, stage, unstage
+
+#: LEAF: texts outside a node's largest tied group that are compared exhaustively.
+COORDINATES, STEP, LEAF = 128, 4, 2048
+#: Texts, and bytes of whole texts, in a block, about (a longer text is a block of its own).
+BLOCK, BLOCK_BYTES = 2048, 8 << 20
+#: After so many rounds of branching the nodes that are left are compared in blocks, whatever their size.
+ROUNDS = 4
 #: Bound on the independent repeats of a node's branching, for aims that the trees only just meet.
 MOST = 64
 #: Key sets of up to so many numbers (some MB) are broadcast; larger ones are shuffled.
 BROADCAST_KEYS = 200_000
-#: Pairs that a task holds to name each once, some 16 MB.
-HELD = 1_000_000
 #: Bits of the sketch that must agree. At a similarity of 0.8, 115 of 128 do on average; 95 is 5.9 deviations below.
 AGREE = 95
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -143,58 +145,77 @@ def regrow(keys: np.ndarray, tokens: np.ndarray, repeats: int) -> tuple[np.ndarr
     return keys, of[rows]
 
 
-def _nodes(keys: np.ndarray, rows: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
-    take = pa.array(rows)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[c.take(take) for c in columns]], ["node", "class", "s0", "s1"])
-
-
 def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _pair_leaves(batches):
-    """Pairs of tied groups that texts of one node (rows are sorted by node) belong to whose sketches agree.
+def _walk(batches, step, at_once: int = 1000):
+    """Rows of (node, row) that ``step`` makes of the tokens of a batch and, if they have one, of their nodes."""
+    for batch in batches:
+        tokens, row = _tokens(batch.column("tokens")), batch.column("row").to_numpy()
+        node = batch.column("node").to_numpy().view(U) if "node" in batch.schema.names else np.zeros(len(row), U)
+        for lo in range(0, len(row), at_once):
+            keys, rows = step(node[lo : lo + at_once], tokens[lo : lo + at_once])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(row[lo + rows])], ["node", "row"])
 
-    The nodes of one main group come to one task, which names a pair once for all of them.
-    """
-    left: list[pa.RecordBatch] = []
-    held = np.zeros((0, 2), np.int64)
-
-    def pairs(rows: pa.Table):
-        node, tie = (rows.column(c).to_numpy() for c in ("node", "tie"))
-        s0, s1 = (rows.column(c).to_numpy().view(U) for c in ("s0", "s1"))
-        found = [np.zeros((0, 2), np.int64)]
-        for d in range(1, len(node)):
-            same = np.flatnonzero(node[d:] == node[:-d])
-            if not len(same):
-                break
-            same = same[tie[same] != tie[same + d]]
-            agree = COORDINATES - np.bitwise_count(s0[same] ^ s0[same + d]).astype(int) - np.bitwise_count(s1[same] ^ s1[same + d])
-            same = same[agree >= AGREE]
-            if len(same):
-                found.append(np.unique(np.sort(np.stack([tie[same], tie[same + d]], axis=1), axis=1), axis=0))
-        return np.unique(np.concatenate([held, *found]), axis=0)
-
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["a", "b"])
 
+def _groups(batches, *keys: str):
+    """The rows of one key at a time, as tables; rows come sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        left.append(batch)
-        rows = pa.Table.from_batches(left)
-        node = rows.column("node").to_numpy()
-        cut = int(np.flatnonzero(node != node[-1])[-1]) + 1 if len(node) and (node != node[-1]).any() else 0  # the last node may go on
-        if cut:
-            held = pairs(rows.slice(0, cut))
-            left = rows.slice(cut).to_batches()
-        if len(held) > HELD:
-            yield told()
-            held = held[:0]
-    if left:
-        held = pairs(pa.Table.from_batches(left))
-    yield told()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(len(batch), bool)
+        new[0] = last is not None and last != tuple(c[0] for c in columns)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        last = tuple(c[-1] for c in columns)
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(cuts, [*cuts[1:], None]):
+            if a or new[0]:  # a key begins at every cut but the first, and there too if the batch before ended with another
+                if held:
+                    yield pa.Table.from_batches(held)
+                held = []
+            if b is None or b > a:
+                held.append(batch.slice(a, None if b is None else b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def linked(sets: list[np.ndarray], held: np.ndarray, asks: np.ndarray, tie: np.ndarray, percent: int):
+    """Links (i, j) of the sets that ask to the sets held which tie two ties; every such pair of ties gets connected.
+
+    Each set that asks is compared with all that are held, on the full sets.
+    """
+    root = {t: t for t in tie.tolist()}
+
+    def find(t):
+        while root[t] != t:
+            root[t] = t = root[root[t]]
+        return t
+
+    names = np.flatnonzero(held)
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    values, number = np.unique(np.concatenate(sets), return_inverse=True)
+    flat = np.concatenate([number[at[j] : at[j + 1]] for j in names]) if len(names) else number[:0]
+    starts = np.concatenate([[0], np.cumsum(size[names])[:-1]])
+    has = np.zeros(len(values), bool)
+    for i in np.flatnonzero(asks).tolist():
+        own = number[at[i] : at[i + 1]]
+        has[own] = True
+        both = np.add.reduceat(has[flat], starts, dtype=np.int64) if len(names) else names
+        has[own] = False
+        for j in names[100 * both >= percent * (size[i] + size[names] - both)].tolist():
+            a, b = find(tie[i]), find(tie[j])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                yield i, j
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links texts whose shingle sets have a Jaccard similarity of ``threshold`` or more.
 
     Texts are lower-cased (A-Z) and cut into words; a text with fewer words than
@@ -216,161 +237,118 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, r
             for lo, _, data, offsets, _ in slices(batch.column(1)):
                 raw = data.tobytes()
                 for k, found in enumerate(shingle_sets(data, offsets, shingle)):
-                    row = {"doc_id": batch.column(0)[lo + k].as_py(), "n_shingles": len(found), "class": None, "tokens": None, "s0": None, "s1": None, "size": int(offsets[k + 1] - offsets[k]), "blob": None}
+                    row = {"doc_id": batch.column(0)[lo + k].as_py(), "n_shingles": len(found), "k0": None, "k1": None, "s0": None, "s1": None, "size": int(offsets[k + 1] - offsets[k]), "tokens": None, "blob": None}
                     if len(found):
                         tokens = minwise(found)
-                        bits = sketch(tokens)
-                        row |= {"class": int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True), "tokens": tokens.tobytes(), "s0": int(bits[0]), "s1": int(bits[1]), "blob": pa.compress(raw[offsets[k] : offsets[k + 1]], "zstd", asbytes=True)}
+                        s0, s1 = sketch(tokens).tolist()
+                        k0, k1 = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                        row |= {"k0": k0, "k1": k1, "s0": s0, "s1": s1, "tokens": tokens.tobytes(), "blob": pa.compress(raw[offsets[k] : offsets[k + 1]], "zstd", asbytes=True)}
                     out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("tokens", pa.binary()), ("s0", pa.int64()), ("s1", pa.int64()), ("size", pa.int64()), ("blob", pa.binary())]))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*[(c, pa.int64()) for c in ("doc_id", "n_shingles", "k0", "k1", "s0", "s1", "size")], ("tokens", pa.binary()), ("blob", pa.binary())]))
 
     def plant(batches):
         roots = mix(np.arange(1, trees_for(recall, threshold) + 1, dtype=U))
-        for batch in batches:
-            tokens = _tokens(batch.column("tokens"))
-            for lo in range(0, len(tokens), 1000):
-                own = tokens[lo : lo + 1000]
-                of = np.tile(np.arange(len(own)), len(roots))
-                keys, rows = branch(np.repeat(roots, len(own)), own[of], STEP)
-                yield _nodes(keys, of[rows] + lo, [batch.column(c) for c in ("class", "s0", "s1")])
+
+        def step(_, own):
+            of = np.tile(np.arange(len(own)), len(roots))
+            keys, rows = branch(np.repeat(roots, len(own)), own[of], STEP)
+            return keys, of[rows]
+
+        yield from _walk(batches, step)
 
     def grow(batches):
         repeats = repeats_for(recall, threshold)
-        for batch in batches:
-            tokens = _tokens(batch.column("tokens"))
-            node = batch.column("node").to_numpy().view(U)
-            for lo in range(0, len(tokens), 1000):
-                keys, rows = regrow(node[lo : lo + 1000], tokens[lo : lo + 1000], repeats)
-                yield _nodes(keys, rows + lo, [batch.column(c) for c in ("class", "s0", "s1")])
-
-    def set_of(batch: pa.RecordBatch, k: int, side: str = "") -> np.ndarray:
-        size = batch.column("size" + side)[k].as_py()
-        raw = pa.decompress(batch.column("blob" + side)[k].as_py(), size, "zstd", asbytes=True)
-        return next(shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, size]), shingle))
+        yield from _walk(batches, lambda node, own: regrow(node, own, repeats))
 
     def confirm(batches):
-        last: tuple[int | None, np.ndarray | None] = (None, None)
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            keep = []
-            for k in range(len(a)):
-                if last[0] != a[k]:
-                    last = a[k], set_of(batch, k, "_a")
-                other = set_of(batch, k, "_b")
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                if 100 * both >= percent * (len(last[1]) + len(other) - both):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
-
-    def confirm_blocks(batches):
-        """Rows come by (group, block), the block's own texts first; each other text is held against all of them."""
-        at, names, sets, flat, starts = None, [], [], None, None
-        for batch in batches:
-            keys = list(zip(batch.column("group").to_pylist(), batch.column("block").to_pylist()))
-            asks, own = batch.column("asks").to_pylist(), batch.column("class").to_pylist()
-            a, b = [], []
-            for k in range(len(keys)):
-                if keys[k] != at:
-                    at, names, sets, flat = keys[k], [], [], None
-                found = set_of(batch, k)
-                if not asks[k]:
-                    names.append(own[k])
-                    sets.append(found)
-                    continue
-                if flat is None and sets:
-                    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
-                    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                if sets:
-                    place = np.minimum(np.searchsorted(found, flat), len(found) - 1)
-                    both = np.add.reduceat((found[place] == flat).astype(np.int64), starts)
-                    hits = np.flatnonzero(100 * both >= percent * (len(found) + sizes - both))
-                    if len(hits):  # one link ties the text to the group
-                        a.append(own[k])
-                        b.append(names[hits[0]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for group in _groups(batches, "group", "i", "j"):
+            name, tie, sizes = (group.column(c).to_numpy() for c in ("class", "tie", "size"))
+            texts = [pa.decompress(b, n, "zstd", asbytes=True) for b, n in zip(group.column("blob").to_pylist(), sizes.tolist())]
+            sets = [x for _, _, data, offsets, _ in slices(pa.array(texts, pa.large_binary())) for x in shingle_sets(data, offsets, shingle)]
+            found = list(linked(sets, *(group.column(c).to_numpy() for c in ("held", "asks")), tie, percent))
+            yield pa.RecordBatch.from_arrays([pa.array([name[k[side]] for k in found], pa.int64()) for side in (0, 1)], ["a", "b"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, class bigint, tokens binary, s0 bigint, s1 bigint, size bigint, blob binary")
+    described = rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, k0 bigint, k1 bigint, s0 bigint, s1 bigint, size bigint, tokens binary, blob binary")
     texts = stage(described.withColumn("row", F.monotonically_increasing_id()), "near-texts")
-    # One row, of those with a set, stands for each class.
-    leads = stage(texts.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("row").alias("row")), "near-classes")
+    full = texts.filter("k0 is not null")
+    # The least row of each class of equal sets stands for it.
+    classes = stage(full.groupBy("k0", "k1").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "near-classes")
+    copies = full.select("row", "k0", "k1").join(classes.filter("n > 1").select("k0", "k1", "class"), ["k0", "k1"]).filter("row <> class")
+    copies = stage(copies.select("row", "class"), "near-copies")
+    marks = full.select("row", "s0", "s1", "size").join(copies, "row", "left").withColumn("class", F.coalesce("class", "row"))
+    nodes = stage(full.select("row", "tokens").mapInArrow(plant, "node bigint, row bigint"), "near-nodes", "none")
+    links, ties = None, None
 
-    def leading(rows: DataFrame, *columns: str) -> DataFrame:
-        """Columns of the rows of ``texts`` that the given leads name, with what else is said of them."""
+    def standing(rows: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the texts that stand for the classes which a staged table names, each once."""
         few = rows.count() <= BROADCAST_KEYS
-        return texts.select("row", *columns).join(F.broadcast(rows) if few else rows, "row").drop("row")
+        return full.select(F.col("row").alias("class"), *columns).join(F.broadcast(rows) if few else rows, "class", "left_semi")
 
-    node_ddl = "node bigint, class bigint, s0 bigint, s1 bigint"
-    signed = stage(texts.select("row", "class", "tokens", "s0", "s1").join(leads.select("row"), "row", "left_semi").drop("row"), "near-signed")
-    nodes = stage(signed.mapInArrow(plant, node_ddl), "near-nodes")
-    links, ties = None, None
+    def blocks(n: str, size: str, of: int = BLOCK) -> Column:
+        return F.ceil(F.greatest(F.col(n) / of, F.col(size) / BLOCK_BYTES, F.lit(1))).cast("int")
 
-    def tie(sure: DataFrame) -> None:
+    def dealt(count: str) -> Column:
+        return F.pmod(F.xxhash64("class"), F.col(count)).cast("int")
+
+    def tie(compared: DataFrame) -> None:
+        """Confirms links within groups of rows (group, i, j, class, tie, held, asks) and ties what they link."""
         nonlocal links, ties
-        sure = stage(sure, "near-links")
-        if links is not None and sure.isEmpty():
-            return
-        links = sure if links is None else links.union(sure)
-        ties = stage(connected_components(links, "a", "b"), "near-ties")
-
-    def settle(pairs: DataFrame) -> None:
-        """Confirms pairs of classes on the full sets and ties what they link."""
-        pairs = stage(pairs.distinct(), "near-pairs")
-        needed = stage(leads.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class", "left_semi").select("row"), "near-needed")
-        blobs = stage(leading(needed, "class", "size", "blob"), "near-blobs", "none")
-        side = lambda s: blobs.select(F.col("class").alias(s), F.col("size").alias(f"size_{s}"), F.col("blob").alias(f"blob_{s}"))
-        tie(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "blob_a", "size_b", "blob_b").mapInArrow(confirm, "a bigint, b bigint"))
-
-    def settle_groups(pairs: DataFrame) -> None:
-        """Confirms pairs of tied groups: the texts of the smaller against blocks of the larger."""
-        pairs = stage(pairs.distinct(), "near-group-pairs")
-        wanted = pairs.select(F.col("a").alias("tie")).union(pairs.select("b")).distinct()
-        member = leads.select("class", "row").join(ties.select(F.col("vertex").alias("class"), "component"), "class", "left")
-        member = member.select("row", F.coalesce("component", "class").alias("tie")).join(wanted, "tie", "left_semi")
-        blobs = stage(leading(stage(member, "near-needed"), "class", "size", "blob"), "near-blobs", "none")
-        many = stage(blobs.groupBy("tie").agg(F.count(F.lit(1)).alias("m")), "near-sizes")
-        sized = pairs.join(many.select(F.col("tie").alias("a"), F.col("m").alias("ma")), "a").join(many.select(F.col("tie").alias("b"), F.col("m").alias("mb")), "b")
-        up = F.struct(F.col("ma"), F.col("a")) <= F.struct(F.col("mb"), F.col("b"))
-        asked = sized.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("asker"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("group"), F.ceil(F.greatest("ma", "mb") / BLOCK).cast("int").alias("blocks"))
-        asked = stage(asked, "near-asked")
-        held = blobs.join(asked.select(F.col("group").alias("tie"), "blocks").distinct(), "tie")
-        held = held.select(F.col("tie").alias("group"), F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "class", "size", "blob")
-        asks = blobs.withColumnRenamed("tie", "asker").join(asked, "asker").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        asks = asks.select("group", "block", F.lit(True).alias("asks"), "class", "size", "blob")
-        tie(held.union(asks).repartition("group", "block").sortWithinPartitions("group", "block", "asks").mapInArrow(confirm_blocks, "a bigint, b bigint"))
+        compared = stage(compared, "near-compared")
+        needed = stage(compared.select("class").distinct(), "near-needed")
+        groups = compared.join(standing(needed, "size", "blob"), "class").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+        sure = stage(groups.mapInArrow(confirm, "a bigint, b bigint"), "near-links", sweep=True)
+        unstage(compared, needed)
+        if links is None or not sure.isEmpty():
+            links = sure if links is None else links.union(sure)
+            ties = stage(connected_components(links, "a", "b"), "near-ties")
 
     for turn in range(ROUNDS + 1):
-        heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("head"), F.min_by("s0", "class").alias("h0"), F.min_by("s1", "class").alias("h1")).filter("n > 1")
-        # A node's texts in a row each, with its head; texts that reach it twice count once.
-        crowded = stage(nodes.join(heads, "node"), "near-crowded")
-        agree = F.lit(COORDINATES) - F.bit_count(F.col("s0").bitwiseXOR(F.col("h0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("h1")))
-        settle(crowded.filter((F.col("head") != F.col("class")) & (agree >= AGREE)).select(F.least("head", "class").alias("a"), F.greatest("head", "class").alias("b")))
-        tied = crowded.join(ties.select(F.col("vertex").alias("class"), F.col("component").alias("tie")), "class", "left").withColumn("tie", F.coalesce("tie", "class"))
-        groups = tied.groupBy("node", "tie").agg(F.count(F.lit(1)).alias("c"))
-        shape = groups.groupBy("node").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("tie", "c").alias("main"), F.count(F.lit(1)).alias("ties"))
-        shape = stage(shape.filter("ties > 1").select("node", "m", "main", (F.col("m") - F.col("most")).alias("others")), "near-shape")
-        last = turn == ROUNDS
-        small, beside = (F.col("m") <= LEAF) | F.lit(last), F.col("others") <= LEAF
-        # Beside a crowd the others are compared with each other too, dealt over SALTS tasks, as many nodes have the same crowd.
-        leaves = tied.join(shape.filter(small | beside).select("node", "main", small.alias("small")), "node").filter(F.col("small") | (F.col("tie") != F.col("main")))
-        leaves = leaves.select("node", "main", F.when(F.col("small"), 0).otherwise(F.pmod(F.xxhash64("node"), F.lit(SALTS))).alias("salt"), "tie", "s0", "s1")
-        pairs = leaves.repartition("main", "salt").sortWithinPartitions("main", "node").mapInArrow(_pair_leaves, "a bigint, b bigint")
-        beyond = groups.join(shape.filter(~small & beside).select("node", "main"), "node").filter("tie <> main")
-        settle_groups(pairs.union(beyond.select(F.least("tie", "main").alias("a"), F.greatest("tie", "main").alias("b"))))
-        if last:
-            break
-        large = stage(tied.join(shape.filter(~small & ~beside).select("node"), "node", "left_semi").select("node", "class").distinct(), "near-large")
-        if large.isEmpty():
+        # Nodes of one text go before anything else is known of the texts.
+        shared = nodes.join(nodes.groupBy("node").count().filter("count > 1").select("node"), "node")
+        members = shared.join(marks, "row").groupBy("node", "class").agg(*[F.first(c).alias(c) for c in ("s0", "s1", "size")])
+        members = stage(members, "near-members", sweep=True)
+        unstage(nodes)
+        heads = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("class", "s0", "s1")).alias("head")).filter("n > 1")
+        agree = F.lit(COORDINATES) - F.bit_count(F.col("s0").bitwiseXOR(F.col("head.s0"))) - F.bit_count(F.col("s1").bitwiseXOR(F.col("head.s1")))
+        crowded = stage(members.join(heads, "node").select("node", "class", "size", F.col("head.class").alias("head"), (agree >= AGREE).alias("near")), "near-crowded")
+        unstage(members)
+        pairs = crowded.filter("near and head <> class").groupBy("head", "class").agg(F.first("size").alias("size"))
+        pairs = stage(pairs, "near-pairs")
+        per = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("head", blocks("n", "bytes").alias("blocks"))
+        answers = pairs.join(per, "head").select("head", dealt("blocks").alias("j"), "class", F.lit(True).alias("held"), F.lit(False).alias("asks"))
+        asked = per.select("head", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("head").alias("class"), F.lit(False).alias("held"), F.lit(True).alias("asks"))
+        tie(answers.union(asked).select(F.col("head").alias("group"), F.lit(0).alias("i"), "j", "class", F.col("class").alias("tie"), "held", "asks"))
+        unstage(pairs)
+
+        tied = crowded.join(ties.select(F.col("vertex").alias("class"), F.col("component").alias("tie")), "class", "left").select("node", "class", "size", F.coalesce("tie", "class").alias("tie"))
+        groups = tied.groupBy("node", "tie").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("bytes"))
+        main = F.max(F.struct("c", "tie", "bytes"))
+        shape = groups.groupBy("node").agg(F.sum("c").alias("m"), F.sum("bytes").alias("bytes"), main.alias("main"), F.count(F.lit(1)).alias("ties")).filter("ties > 1")
+        shape = shape.withColumns({"others": F.col("m") - F.col("main.c"), "other_bytes": F.col("bytes") - F.col("main.bytes")})
+        shape = stage(shape.select("node", F.col("main.tie").alias("main"), "others", blocks("others", "other_bytes", LEAF).alias("across"), blocks("m", "bytes").alias("down")), "near-shape")
+        leaf = (F.col("others") <= LEAF) | F.lit(turn == ROUNDS)
+        open_ = tied.join(shape.filter(leaf), "node").select(F.col("node").alias("group"), "class", "tie", (F.col("tie") != F.col("main")).alias("other"), "across", "down", dealt("across").alias("own_i"), dealt("down").alias("own_j"))
+        # A text is held in its own block, once for each block of those that ask; the others ask in every block.
+        held = open_.select("*", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"), F.col("own_j").alias("j"), F.lit(True).alias("held"))
+        asks = open_.filter("other and down > 1").select("*", F.col("own_i").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), F.lit(False).alias("held")).filter("j <> own_j")
+        tie(held.union(asks).select("group", "i", "j", "class", "tie", "held", (F.col("other") & (F.col("i") == F.col("own_i"))).alias("asks")))
+        if shape.filter(~leaf).isEmpty():
             break
-        grown = large.join(signed, "class").select("node", "class", "tokens", "s0", "s1")
-        nodes = stage(grown.mapInArrow(grow, node_ddl), "near-nodes")
+        large = stage(tied.join(shape.filter(~leaf).select("node"), "node", "left_semi").select("node", "class"), "near-large")
+        unstage(crowded, shape)
+        needed = stage(large.select("class").distinct(), "near-needed")
+        grown = large.join(standing(needed, "tokens"), "class").select("node", F.col("class").alias("row"), "tokens")
+        nodes = stage(grown.mapInArrow(grow, "node bigint, row bigint"), "near-nodes", "none")
     # A class is named after the least id among all texts of its component; classes of one text keep their own.
-    tied = leads.join(ties.select(F.col("vertex").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    tied = classes.join(ties.select(F.col("vertex").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = tied.groupBy("component").agg(F.min("least").alias("name"), F.sum("n").alias("of")).filter("of > 1")
-    names = stage(tied.join(least, "component").select("class", "name"), "near-names")
+    names = stage(tied.join(least, "component").select("k0", "k1", "name"), "near-names", sweep=True)
     component = F.coalesce(F.col("name"), F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, component.isNull())
-    return texts.select("doc_id", "n_shingles", "class").join(names, "class", "left").select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    named = full.select("doc_id", "n_shingles", "k0", "k1").join(names, ["k0", "k1"], "left").select("doc_id", "n_shingles", "name")
+    bare = texts.filter("k0 is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("name"))
+    return named.union(bare).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -384,4 +362,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
+    return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=2)
