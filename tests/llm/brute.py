@@ -7,6 +7,8 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -79,3 +81,104 @@ def quality(text):
     times = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     covered = {i + k for i in range(len(w) - 2) if times[tuple(w[i : i + 3])] > 1 for k in range(3)}
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def kneser_ney(counts, order=4, discount=0.75):
+    """counts: language -> {n-gram of ``order`` characters: count}. Language -> probability of a character after a context.
+
+    Straight from the recursion: the highest order takes counts, the lower ones
+    the number of different characters before; what is discounted goes to the
+    order below, down to an equal share for all known characters and one unknown.
+    """
+    alphabet = {c for grams in counts.values() for g in grams for c in g}
+    everywhere = {n: {g[-n:][:-1] for grams in counts.values() for g in grams} for n in range(1, order + 1)}
+
+    def probability(language, context, c):
+        p = 1 / (len(alphabet) + 1)
+        for n in range(1, order + 1):
+            own = collections.Counter()
+            if n == order:
+                own.update(counts[language])
+            else:
+                for g in {g[order - n - 1 :] for g in counts[language]}:
+                    own[g[1:]] += 1
+            h = context[len(context) - n + 1 :]
+            if h not in everywhere[n]:
+                break  # no language knows the context, so no longer one either
+            followers = {g: k for g, k in own.items() if g[:-1] == h}
+            total = sum(followers.values())
+            if total:
+                p = max(followers.get(h + c, 0) - discount, 0) / total + discount * len(followers) / total * p
+        return p
+
+    return probability
+
+
+
+def word_features(text):
+    """Each word's own form, beginnings and ends of 4 to 6 characters, as names of features."""
+    out = set()
+    for word in (text or "").lower().split():
+        word = word.strip(".,;:!?#$%&*|<>()[]{}\"'")
+        out.add("=" + word)
+        for n in (4, 5, 6):
+            if len(word) >= n:
+                out |= {"^" + word[:n], word[len(word) - n :] + "$"}
+    return out
+
+
+def best_features(rows, labels, most, least):
+    """The names with the largest chi-squared value of each category, among those that ``least`` texts have."""
+    n, chosen = len(rows), set()
+    has = collections.Counter(x for own in rows for x in own)
+    for category in zip(*labels):
+        share = sum(category) / n
+        positive = collections.Counter(x for own, y in zip(rows, category) if y for x in own)
+        gain = {x: (positive[x] - c * share) ** 2 / (c * (1 - c / (n + 1))) for x, c in has.items() if c >= least}
+        chosen |= set(sorted(gain, key=lambda x: (-gain[x], x))[:most])
+    return sorted(chosen)
+
+
+def logistic(x, y, penalty=1e-4, rounds=60):
+    """Penalised logistic regression by damped Newton steps; the last weight is the bias."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.diag([penalty] * (x.shape[1] - 1) + [1e-9])
+
+    def loss(w):
+        z = x @ w
+        return np.mean(np.logaddexp(0, z) - y * z) + w @ ridge @ w / 2
+
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(x) + ridge, x.T @ (p - y) / len(x) + ridge @ w)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+    return w
+
+
+def chain(x, labels, fold):
+    """Links in order; each but the first also sees the earlier links' probabilities, from fits without the row's fold.
+
+    Returns a function from a dense matrix to probabilities.
+    """
+    links, seen = [], x
+    for k in range(labels.shape[1]):
+        y = labels[:, k]
+        links.append(logistic(seen, y))
+        apart = np.zeros(len(x))
+        for f in set(fold.tolist()):
+            w = logistic(seen[fold != f], y[fold != f])
+            apart[fold == f] = 1 / (1 + np.exp(-(seen[fold == f] @ w[:-1] + w[-1])))
+        seen = np.hstack([seen, apart[:, None]])
+
+    def predict(rows):
+        out = []
+        for w in links:
+            out.append(1 / (1 + np.exp(-(rows @ w[:-1] + w[-1]))))
+            rows = np.hstack([rows, out[-1][:, None]])
+        return np.stack(out, axis=1)
+
+    return predict

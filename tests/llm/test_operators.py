@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import brute
 from corpusloom.llm import bpe, chat, exact_dedup, host_quality, langid, mixing, near_dedup, registry, sharding, substring_dedup, toxicity
-from corpusloom.llm.kernel import slices
+from corpusloom.llm.kernel import Words, piece_codes, piece_hashes, slices
 from helpers import duck, same
 
 
@@ -25,6 +26,59 @@ def test_sql(spark, sf, name):
     assert ok, why
 
 
+# hashes
+
+
+def thue_morse(n):
+    """Two different words of n letters whose polynomial hashes modulo 2**64 are equal for any odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_kernel_hashes():
+    rng = random.Random(4)
+    pieces = {"", "\0", "\0\0", "a" * 8, "a" * 9, "\0" * 8, "\0" * 9, "é" * 4, *thue_morse(1024), *thue_morse(4096)}
+    pieces |= {"".join(rng.choice("ab\0é漢😀") for _ in range(rng.randrange(14))) for _ in range(5000)}
+    pieces = sorted(pieces) * 2
+    raw = [p.encode() for p in pieces]
+    ends = np.cumsum([len(x) for x in raw])
+    for number in (piece_codes, piece_hashes):
+        out = number(np.frombuffer(b"".join(raw), np.uint8), np.append(0, ends[:-1]), ends)
+        assert len(set(out.tolist())) == len(set(pieces)) and len(set(zip(out.tolist(), pieces))) == len(set(pieces))
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 10, 20])
+def test_kernel_grams(k):
+    rng = random.Random(k)
+    x, y = thue_morse(64)
+    texts = [" ".join(rng.choice("ab") for _ in range(200)), "", " ".join(x), " ".join(y), "a b " * 60, x + " " + y]
+    raw = [t.encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    own = [w for t in texts for w in t.split()]
+    runs = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
+    text = [i for i, t in enumerate(texts) for _ in t.split()]
+    assert words.whole(k).tolist() == [text[i] == text[i + k - 1] for i in range(len(runs))]
+    for lane in (0, 1):
+        found = words.grams(k, lane).tolist()
+        assert len(found) == len(runs) and len(set(found)) == len(set(runs)) == len(set(zip(found, runs)))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_words(spark, n):
+    """Words that a polynomial hash takes for equal, through the four operators on words and pieces."""
+    x, y = thue_morse(n)
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, x), (4, y), (5, f"{x}1{y} {y}1{x}"), (6, f"{x} a b {y} a b c"), (7, f"{x} a b {x} a b c")]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in rows], "doc_id bigint, text string, source string")
+    assert got(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeats(rows), key=repr)
+    assert got(near_dedup.near_duplicates(docs, shingle=2), "doc_id", "n_shingles", "component_id", "kept") == sorted(brute.near(rows, 2), key=repr)
+    assert sorted(tuple(r) for r in host_quality.measure(docs).drop("__host").collect()) == sorted((i, *brute.quality(t)) for i, t in rows)
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(ranks()), special_tokens={})
+    ids = {i: ",".join(map(str, coder.encode_ordinary(t))) for i, t in rows}
+    want = sorted((i, hashlib.sha256(ids[i].encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    assert got(bpe.bpe_digests(docs), "doc_id", "ids_sha256", "decoded_sha256") == want
+
+
 # op1
 
 
@@ -296,6 +350,40 @@ def test_chat(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_chat_masked(spark):
+    """What the spans cut out is each assistant text once, in order, over more turns than a step takes, and shifted spans show."""
+    rows = [(c, t, "assistant" if t % 3 else "user", f"</s> \\ turn {t} <|end|>\n😀" * (t % 3)) for c, n in ((1, 1), (2, 256), (3, 257), (4, 1500), (5, 2)) for t in range(n)]
+    rows += [(6, 0, "user", "only")] + [(7, t, "assistant", "x") for t in range(600)]
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    out = chats.select("conv_id", chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted", "loss_spans")
+    for r in out.collect():
+        assert r.loss == [x for c, _, role, x in rows if c == r.conv_id and role == "assistant"]
+        assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == [spark_escape(x) for x in r.loss]
+    moved = chats.filter("conv_id = 7").withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('start', s.start + 1, 'length', s.length))"))
+    assert set(moved.select(F.explode(chat.masked(F.col("formatted"), F.col("loss_spans"))).alias("x")).collect()) != {("x",)}
+
+
+def spark_escape(text):
+    text = text.replace("\\", "\\\\")
+    for c in chat.CONTROL:
+        text = text.replace(c, c[0] + "\\" + c[1:])
+    return text
+
+
+def test_chat_long(spark):
+    """The work is in proportion to the turns: four times as many take less than ten times as long."""
+    took = []
+    for n in (4000, 16_000):
+        table = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("text"))
+        chats = chat.format_chats(table).withColumn("t", chat.read_back(F.col("formatted")))
+        chats = chats.select(F.size("t").alias("n"), F.size(chat.masked(F.col("formatted"), F.col("loss_spans"))).alias("m"))
+        chats.collect()
+        began = time.time()
+        assert [tuple(r) for r in chats.collect()] == [(n, n // 2)]
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0]
+
+
 # op8
 
 
@@ -347,9 +435,75 @@ def test_langid_models():
         assert total == pytest.approx([1, 1], abs=0.05)
 
 
+def test_langid_brute():
+    """Cross-entropies of texts, known and unknown characters and contexts among them, against the recursion written out."""
+    rng = random.Random(6)
+    learn = {"a": ["abcab cab", "bcabca", "cab bac"], "b": ["xyz abx", "zyx yx", "x"], "c": ["a"]}
+    counts = {}
+    for language, texts in learn.items():
+        counts[language] = {}
+        for t in texts:
+            padded = "   " + t
+            for i in range(len(t)):
+                counts[language][padded[i : i + 4]] = counts[language].get(padded[i : i + 4], 0) + rng.randint(1, 3)
+    models, probability = langid.Models(counts), brute.kneser_ney(counts)
+    texts = [t for own in learn.values() for t in own] + ["".join(rng.choice("abcxyz q") for _ in range(12)).strip() for _ in range(40)]
+    raw = [t.encode() for t in texts]
+    codes, first, n = langid.characters(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    out = models.cross_entropies(codes, first)
+    for k, t in enumerate(texts):
+        padded = codes[first[k] : first[k + 1]].tobytes().decode("utf-32-le")
+        for column, language in enumerate(models.languages):
+            want = -sum(np.log(probability(language, padded[i : i + 3], padded[i + 3])) for i in range(len(padded) - 3)) / (len(padded) - 3)
+            assert out[k, column] == pytest.approx(want, rel=1e-5), (t, language)
+
+
+def test_langid_rejected(spark):
+    """The query tells which answers lie above what their language's own texts reach."""
+    out = langid.op8_langid(spark, "/root/testdata/sf0.01")
+    assert out.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"]
+    rejected = out.filter("rejected and lang_pred <> 'und'").count()
+    assert 0 < rejected < 0.2 * out.count()
+
+
 # op9
 
 
+def merged(rows, runs, fan_in):
+    """Digest runs merged in binomial rounds, with plain lists: (id or None, normalised text) -> (id, kept id, group size, kept)."""
+    first = [{} for _ in range(runs)]
+    for n, (i, body) in enumerate(rows):
+        own = first[n % runs]
+        least, count = own.get(body, ((True, 0, n), 0))
+        own[body] = min(least, (i is None, i or 0, n)) if count else (i is None, i or 0, n), count + 1
+    stride = 1
+    while stride < runs:
+        stride *= fan_in
+        for r in range(runs):
+            to = r - r % stride
+            if to != r:
+                for body, (least, count) in sorted(first[r].items()):
+                    other = first[to].get(body)
+                    first[to][body] = (min(least, other[0]), count + other[1]) if other else (least, count)
+                first[r] = {}
+    out = []
+    for n, (i, body) in enumerate(rows):
+        (none, keep, at), count = first[0][body]
+        out.append((i, None if none else keep, count, at == n))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("runs, fan_in", [(1, 2), (5, 2), (64, 4), (16, 16)])
+def test_exact_rounds(spark, runs, fan_in):
+    rng = random.Random(runs)
+    rows = [(rng.choice([None, rng.randrange(60), rng.randrange(10**6)]), rng.choice(["", "hot", f"t{rng.randrange(40)}", f"u{k}"])) for k in range(400)]
+    out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), runs=runs, fan_in=fan_in)
+    assert got(out, "doc_id", "keep_id", "group_size", "kept") == merged(rows, runs, fan_in)
+
+
+# op9 on the tables
+
+
 def test_exact(spark, docs, odd, none):
     rows = [tuple(r) for r in exact_dedup.exact_dedup(docs, runs=5, fan_in=2).collect()]
     assert sorted(rows) == sorted(tuple(r) for r in exact_dedup.exact_dedup(docs).collect())
@@ -373,6 +527,27 @@ def test_toxicity(spark):
     assert wrong <= 0.06 * out.count() and chain.categories == ["low_quality", "toxic"] and len(chain.weights[1]) == len(chain.weights[0]) + 1
 
 
+def test_toxicity_brute(spark, monkeypatch):
+    """Features, links and probabilities against the definitions over a dense matrix."""
+    monkeypatch.setattr(toxicity, "FEATURES", 40)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    own = toxicity.fit_chain(docs, labels, toxicity.categories())
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(toxicity.FOLDS)).cast("int")
+    rows = docs.join(labels, "doc_id").select("text", 1 - F.col("quality"), "toxic", fold).collect()
+    found, y = [brute.word_features(r[0]) for r in rows], [(r[1], r[2]) for r in rows]
+    names = brute.best_features(found, y, 40, toxicity.LEAST)
+    assert own.vocabulary == names
+    dense = lambda sets: np.array([[float(x in s) for x in names] for s in sets])
+    predict = brute.chain(dense(found), np.array(y, float), np.array([r[3] for r in rows]))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = dict(zip(texts, predict(dense([brute.word_features(t) for t in texts.values()]))))
+    out = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.judge(docs, own).collect()}
+    apart = np.abs(np.array([out[i] for i in texts]) - np.array([want[i] for i in texts]))
+    assert apart.mean() < 0.02 and np.quantile(apart, 0.99) < 0.15
+    assert np.mean([(out[i][1] >= 0.5) == (want[i][1] >= 0.5) for i in texts]) > 0.995
+
+
 def test_toxicity_rare(spark):
     """Every positive is used where they are rare, and the probabilities stay those of the whole table."""
     rng = random.Random(2)
