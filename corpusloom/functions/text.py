@@ -6,7 +6,7 @@ White space is meant as Unicode has it (``(?U)\\s``), not as Java's ASCII defaul
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The marks and patterns that define the normalised form.
@@ -185,3 +185,43 @@ def review_flag(c: Column) -> Column:
 
 def has_text(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
+def url_of(canonical: Column, source: Column) -> Column:
+    """The canonical address unless it is blank."""
+    return F.coalesce(F.nullif(F.trim(canonical), F.lit("")), source)
+
+
+def verification(raw: Column, flag: Column) -> Column:
+    """What a profile says of its verification, or else ``VERIFIED`` or ``UNVERIFIED`` by its flag."""
+    return F.when(has_text(raw), raw).when(flag == 1, "VERIFIED").when(flag == 0, "UNVERIFIED")
+
+
+def observation(value: Column) -> Column:
+    return F.when(value.isNotNull(), "OBSERVED").otherwise("MISSING")
+
+
+def any_text(*fields: Column) -> Column:
+    """Whether one of the fields is not blank."""
+    out = F.lit(False)
+    for field in fields:
+        out = out | has_text(field)
+    return out
+
+
+def strong_conflict(label: Column, p: Column, cutoff: float = 0.9) -> Column:
+    """Whether a probability (of ``unrelated``) contradicts the label strongly."""
+    return F.coalesce(((label == "related") & (p >= cutoff)) | ((label == "unrelated") & (p <= 1 - cutoff)), F.lit(False))
+
+
+def without_texts(rows: DataFrame, *texts: str) -> DataFrame:
+    """The rows with a digest in place of each raw text."""
+    return rows.withColumns({f"{c}_sha256": F.sha2(F.col(c).cast("binary"), 256) for c in texts}).drop(*texts)
+
+
+def has_residue(model: Column) -> Column:
+    """Whether a model text's body is still a Delta document, or the body's mark is missing."""
+    mark = f"\n{BODY}\n"
+    body = F.regexp_replace(F.substring(model, F.instr(model, mark) + len(mark), F.length(model)), rf"\A{_WS}+", "")
+    ops = F.try_variant_get(F.try_parse_json(body), "$.ops", "array<variant>")
+    return F.when(model.isNull() | (F.instr(model, mark) == 0), True).otherwise(body.startswith("{") & ops.isNotNull())

@@ -67,3 +67,11 @@ def apply_corrections(labels: DataFrame, corrections: DataFrame, key: str, colum
     digest = lambda c: F.sha2(F.concat_ws("|", F.col(key).cast("string"), c).cast("binary"), 256)
     after = F.coalesce(F.col("__new"), F.col(column))
     return met.select(*[c for c in labels.columns if c != column], after.alias(column), digest(F.col(column)).alias("before_sha256"), digest(after).alias("after_sha256"))
+
+
+def coding_rows(units: DataFrame, fields: DataFrame, coders: DataFrame, task: str) -> DataFrame:
+    """A blank row for each unit, field and coder, with a keyed id; the tables of fields and coders are a few rows each."""
+    met = units.crossJoin(F.broadcast(fields)).crossJoin(F.broadcast(coders))
+    name = F.concat_ws("\x1f", F.lit(task), F.col("coder"), F.col("unit_id").cast("string"), F.col("field_name"))
+    blank = {c: F.lit("") for c in ("label_value", "review_flag", "reason_code", "evidence_quote")}
+    return met.withColumn("annotation_id", F.concat(F.lit("ANN-"), F.substring(F.sha2(name.cast("binary"), 256), 1, 20))).withColumns(blank)

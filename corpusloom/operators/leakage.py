@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.plans.tables import stage
 
 from .components import connected_components
+from .lineage import streamed_digests
 
 
 def star_edges(rows: DataFrame, key: str, id_col: str = "id") -> DataFrame:
@@ -26,35 +23,13 @@ def component_ids(rows: DataFrame, edges: DataFrame, id_col: str = "id", length:
     rooted = rows.select(F.col(id_col).alias("id")).join(roots.withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("component", "id"))
     rooted = stage(rooted.select("id", "root"), "rooted")
 
-    def name(batches):
-        """Rows come sorted by root and id; a component's members go through its hash one by one."""
-        at, digest, n = None, None, 0
-        for batch in batches:
-            out = []
-            for root, token in zip(batch.column("root").to_pylist(), batch.column("token").to_pylist()):
-                if at is None or root != at:
-                    if at is not None:
-                        digest.update(b"]")
-                        out.append((at, n, digest.hexdigest()[:length]))
-                    at, digest, n = root, hashlib.sha256(b"["), 0
-                digest.update((b"," if n else b"") + token.encode())
-                n += 1
-            yield _named(out, kind)
-        if at is not None:
-            digest.update(b"]")
-            yield _named([(at, n, digest.hexdigest()[:length])], kind)
-
-    kind = to_arrow_type(rooted.schema["root"].dataType)
     token = F.to_json(F.array("id"))
-    tokens = rooted.select("root", "id", F.substring(token, F.lit(2), F.length(token) - 2).alias("token"))
-    named = tokens.repartition("root").sortWithinPartitions("root", "id").mapInArrow(name, f"root {rooted.schema['root'].dataType.simpleString()}, size bigint, component_id string")
+    tokens = rooted.select(F.col("root").alias("group"), F.col("id").alias("__o0"), F.substring(token, F.lit(2), F.length(token) - 2).alias("token"))
+    named = streamed_digests(tokens, 1, rooted.schema["root"].dataType)
+    named = named.select(F.col("group").alias("root"), F.col("members").alias("size"), F.substring("sha256", 1, length).alias("component_id"))
     return rooted.join(named, "root").select("id", "root", "size", "component_id")
 
 
-def _named(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["root", "size", "component_id"])
-
-
 def leakage_groups(posts: DataFrame, confirmed: DataFrame) -> DataFrame:
     """Components of posts (id, author, cluster) joined by author, exact cluster and confirmed pairs.
 
@@ -94,3 +69,27 @@ def label_conflicts(members: DataFrame, label: str = "label") -> DataFrame:
 def crowded_components(members: DataFrame, accepted: DataFrame) -> DataFrame:
     """Components with more than one accepted member: each is a violation."""
     return members.join(accepted, "id", "left_semi").groupBy("root").agg(F.count(F.lit(1)).alias("accepted")).filter("accepted > 1")
+
+
+def joint_components(initial: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(id, initial, joint): components of (id, component) rows after confirmed pairs (left, right) of ids were added; none is torn."""
+    least = initial.groupBy("component").agg(F.min("id").alias("left"))
+    star = initial.join(least, "component").filter(F.col("id") != F.col("left")).select("left", F.col("id").alias("right"))
+    joint = connected_components(star.union(confirmed.select("left", "right")))
+    met = initial.join(joint.select(F.col("vertex").alias("id"), F.col("component").alias("joint")), "id", "left")
+    return met.select("id", F.col("component").alias("initial"), F.coalesce("joint", "id").alias("joint"))
+
+
+def duplicate_plan(members: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """What becomes of (id, text, label) rows under confirmed duplicate pairs: component, representative, ``excluded`` and ``state``.
+
+    The fullest text of a component stands for it and the others are excluded,
+    unless their labels differ (``label_conflict``), when nothing is decided.
+    """
+    edges = confirmed.select("left", "right")
+    roots = connected_components(edges).withColumnRenamed("vertex", "id")
+    rooted = stage(members.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component"), "duplicate-plan")
+    kinds = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size"), (F.min("label") != F.max("label")).alias("conflict"))
+    out = representatives(rooted).join(kinds, "root")
+    state = F.when(F.coalesce("conflict", F.lit(False)), "label_conflict").when(F.col("size") > 1, "resolved").otherwise("single")
+    return out.select("id", "root", "is_representative", ((state == "resolved") & ~F.col("is_representative")).alias("excluded"), state.alias("state"))

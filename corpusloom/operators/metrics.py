@@ -25,11 +25,11 @@ def band(value: Column, bands) -> Column:
     return out.otherwise(bands[-1][1])
 
 
-def confusion(rows: DataFrame, p: str, label: str, at: float = 0.5) -> DataFrame:
-    """One row: tp, fp, fn, tn, precision, recall, f1 (0 over nothing), accuracy, Brier score and log loss."""
+def confusion(rows: DataFrame, p: str, label: str, at: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (of each group in ``by``): tp, fp, fn, tn, precision, recall, f1 (0 over nothing), accuracy, Brier score and log loss."""
     yes, y = F.col(p) >= at, F.col(label) == 1
     e = F.greatest(F.least(F.col(p), F.lit(1 - 1e-15)), F.lit(1e-15))
-    sums = rows.agg(
+    sums = rows.groupBy(*by).agg(
         F.count_if(yes & y).alias("tp"), F.count_if(yes & ~y).alias("fp"), F.count_if(~yes & y).alias("fn"), F.count_if(~yes & ~y).alias("tn"),
         F.avg((F.col(p) - F.col(label)) * (F.col(p) - F.col(label))).alias("brier"), F.avg(-F.when(y, F.ln(e)).otherwise(F.ln(1 - e))).alias("log_loss"),
     )
@@ -252,3 +252,19 @@ def locked_test(rows: DataFrame, keep: float, exclude: float, max_keep_errors: i
     bad = (F.col("keep_errors") > max_keep_errors) | (F.col("exclude_errors") > max_exclude_errors)
     few = (F.col("keep_n") < min_support) | (F.col("exclude_n") < min_support)
     return sums.withColumn("status", F.when(bad, "FAILED_MANUAL_ONLY").when(few, "SUPPORT_MANUAL_ONLY").otherwise("PASSED"))
+
+
+def subgroup_metrics(rows: DataFrame, p: str, label: str, group: str) -> DataFrame:
+    """The figures of :func:`confusion` for each group that holds both classes."""
+    return confusion(rows, p, label, by=(group,)).filter("tp + fn > 0 and fp + tn > 0")
+
+
+def directional(rows: DataFrame, before: str, after: str, label: str) -> DataFrame:
+    """One row: errors of either kind before and after, answers mended and broken, and whether no kind of error grew."""
+    y = F.col(label) == 1
+    was, now = (F.col(c) >= 0.5 for c in (before, after))
+    sums = rows.agg(
+        F.count_if(was & ~y).alias("false_positive_before"), F.count_if(now & ~y).alias("false_positive_after"), F.count_if(~was & y).alias("false_negative_before"), F.count_if(~now & y).alias("false_negative_after"),
+        F.count_if((was != y) & (now == y)).alias("mended"), F.count_if((was == y) & (now != y)).alias("broken"),
+    )
+    return sums.withColumn("passes", (F.col("false_positive_after") <= F.col("false_positive_before")) & (F.col("false_negative_after") <= F.col("false_negative_before")))

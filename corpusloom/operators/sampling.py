@@ -199,3 +199,54 @@ def replacement_outcome(usable: Column, duplicate: Column, review: Column, neede
         .when(~final, "label_not_final")
         .otherwise("selected")
     )
+
+
+def audit_sample(scored: DataFrame, n: int, audit: str, key: str, tails: tuple[str, ...], action: str = "action") -> DataFrame:
+    """``n`` members of each tail in hash order, with a task id and one order over all; a tail with fewer is an error.
+
+    Adds ``task_id`` (24 hex digits of a keyed hash) and ``position``, which mixes the tails.
+    """
+    tailed = scored.filter(F.col(action).isin(*tails))
+    sizes = {r[0]: r[1] for r in tailed.groupBy(action).count().collect()}  # a row per tail
+    if short := [t for t in tails if sizes.get(t, 0) < n]:
+        raise ValueError(f"fewer than {n} members in {short}")
+    keyed = lambda word: F.sha2(F.concat_ws("|", F.lit(audit), F.lit(word), F.col(key).cast("string")).cast("binary"), 256)
+    drawn = first_of_each(tailed, [action], F.lit(n), keyed("draw"), key).drop("rank")
+    place = F.row_number().over(Window.orderBy(keyed("shuffle"), key)).cast("long")  # n rows per tail
+    return drawn.withColumn("task_id", F.substring(keyed("task"), 1, 24)).withColumn("position", place)
+
+
+def one_per_author(posts: DataFrame, authors: DataFrame, author: str, key: str, seed: str) -> DataFrame:
+    """One post of each of the given authors, the first in hash order."""
+    return first_of_each(posts.join(authors.select(author).distinct(), author, "left_semi"), [author], F.lit(1), hash_order(seed, F.col(key)), key).drop("rank")
+
+
+def task_plan(queue: DataFrame, labels: DataFrame, key: str, needed: int, reserve: int) -> DataFrame:
+    """The first members of a ranked queue as tasks: those needed, then a reserve, each with the label it had before if any."""
+    tasks = queue.filter(F.col("rank") <= needed + reserve).withColumn("role", F.when(F.col("rank") <= needed, "needed").otherwise("reserve"))
+    return tasks.join(labels.withColumnRenamed("label", "prior_label"), key, "left")
+
+
+def global_split(rows: DataFrame, time: str, tie: Column, component: str, label: str, test: float, validation: float) -> DataFrame:
+    """Adds ``split``: the latest share with all its components is ``test``, one grouped fold of the rest ``validation``, the rest ``train``.
+
+    Of about 1 / ``validation`` folds of whole components, the one is taken whose
+    share and whose share of positive labels are nearest to the wanted ones. The
+    counts of components are dealt on the driver, a row each, as folds need them all.
+    """
+    marked = temporal_holdout(rows, time, tie, test, component)
+    rest = marked.filter(F.col("split") != "test")
+    groups = [tuple(r) for r in rest.groupBy(component).agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).collect()]
+    folds = group_folds(groups, max(2, round(1 / validation)))
+    n, positive = sum(a + b for _, a, b in groups), sum(b for *_, b in groups)
+
+    def distance(fold: int) -> float:
+        own = [(a, b) for c, a, b in groups if folds[c] == fold]
+        size = sum(a + b for a, b in own)
+        return abs(size / n - validation) + abs(sum(b for _, b in own) / size - positive / n)
+
+    best = min(sorted(set(folds.values())), key=distance)
+    held = rows.sparkSession.createDataFrame([(c,) for c, f in folds.items() if f == best], f"{component} {rows.schema[component].dataType.simpleString()}")
+    held = held.withColumn("__held", F.lit(True))
+    out = marked.join(held, component, "left")
+    return out.withColumn("split", F.when(F.col("split") == "test", "test").when(F.col("__held"), "validation").otherwise("train")).drop("__held")

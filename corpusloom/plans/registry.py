@@ -25,4 +25,4 @@ def load() -> None:
         importlib.import_module(f"corpusloom.plans.{name}")
 
 
-MODULES = ("q_text", "q_corpus", "q_eval", "q_models")
+MODULES = ("q_text", "q_corpus", "q_eval", "q_models", "q_lineage")
