@@ -9,6 +9,7 @@ from corpusloom.operators import duplicates, models
 from corpusloom.streaming import incremental
 
 from .q_corpus import near_texts, table
+from .q_eval import SCORED, scored
 from .q_text import docs
 from .registry import add
 
@@ -45,12 +46,34 @@ add(
 
 
 def embedded(spark, sf):
-    """Embeddings with their class against the rest, and a fold by hash."""
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") == 0).cast("int").alias("label"), F.pmod(F.xxhash64("vec_id"), F.lit(5)).alias("fold"))
+    """Embeddings with their class against the rest, and a fold by hash; four neighbours are a component."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") == 0).cast("int").alias("label"), F.pmod(F.xxhash64(F.floor(F.col("vec_id") / 4)), F.lit(5)).alias("fold"))
 
 
 add("model_cross_fit", lambda s, d: models.cross_fit(embedded(s, d)))
 add("model_cross_fit_svm", lambda s, d: models.cross_fit(embedded(s, d), kind="svm"))
+CANDIDATES = [("logistic", 0.1, 32), ("logistic", 1.0, 64), ("svm", 0.1, 64)]
+add("model_nested_choices", lambda s, d: models.nested_search(embedded(s, d), CANDIDATES)[0])
+add("model_nested_search", lambda s, d: models.nested_search(embedded(s, d), CANDIDATES)[1])
+add(
+    "model_candidate_grid",
+    lambda s, d: models.candidate_grid(s, family=["tfidf_svm", "nb_svm", "tfidf_logistic"], span=["2-4", "2-5", "3-5"], min_df=[1, 2], c=[0.5, 1.0, 2.0]),
+    """select (row_number() over (order by f.i, s.i, m.i, c.i) - 1)::int as candidate, f.v as family, s.v as span, m.v as min_df, c.v as c from (values (0, 'tfidf_svm'), (1, 'nb_svm'), (2, 'tfidf_logistic')) f(i, v),
+      (values (0, '2-4'), (1, '2-5'), (2, '3-5')) s(i, v), (values (0, 1), (1, 2)) m(i, v), (values (0, 0.5), (1, 1.0), (2, 2.0)) c(i, v)""",
+)
+
+
+def fused(spark, sf):
+    return models.nested_fusion(scored(spark, sf).select("doc_id", "label", "pa", "pb", (F.col("doc_id") % 5).alias("fold")), [0.0, 0.25, 0.5, 0.75, 1.0])
+
+
+_B = "case when weight = 0 then pa else 1 / (1 + exp(-((1 - weight) * ln(greatest(least(pa, 1 - 1e-6), 1e-6) / (1 - greatest(least(pa, 1 - 1e-6), 1e-6))) + weight * ln(greatest(least(pb, 1 - 1e-6), 1e-6) / (1 - greatest(least(pb, 1 - 1e-6), 1e-6)))))) end"
+FUSED = f"""{SCORED}, x as (select doc_id, label, pa, pb, doc_id % 5 as fold, weight, {_B} as p from scored, (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as weight)),
+  o as (select f.fold, weight, count(*) filter (where label = 0 and p >= 0.5) as fp, count(*) filter (where label = 0 and pa >= 0.5) as fp_first,
+    avg(-case when label = 0 then ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)) else ln(greatest(least(p, 1 - 1e-15), 1e-15)) end) as log_loss from x join (select distinct fold from x) f on f.fold <> x.fold group by all),
+  best as (select fold, weight, fp as false_positive, log_loss from o where fp <= fp_first qualify row_number() over (partition by fold order by round(log_loss, 12), weight) = 1)"""
+add("model_fusion_choices", lambda s, d: fused(s, d)[0].withColumn("log_loss", F.round("log_loss", 9)), f"with {FUSED} select fold, weight, false_positive, round(log_loss, 9) as log_loss from best")
+add("model_fusion", lambda s, d: fused(s, d)[1].select("doc_id", "weight", F.round("p", 9).alias("p")), f"with {FUSED} select doc_id, weight, round(p, 9) as p from x join best using (fold, weight)")
 add("model_search", lambda s, d: models.search(embedded(s, d), [("logistic", 0.1), ("logistic", 1.0), ("svm", 0.1)]))
 add(
     "vectors_top_neighbours",
