@@ -94,14 +94,16 @@ def threshold_histogram(rows: DataFrame, p: str, weight: Column, steps: int = 10
     edge = F.round(F.col(p) * steps, 9) == cell
     label = F.col("label")
     out = {"n": F.lit(1.0), "w": weight, "w2": weight * weight, "yes": F.when(label == 1, weight), "no": F.when(label == 0, weight), "unsure": F.when(label.isNull(), weight)}
+    out |= {f"n_{k}": F.when(label.eqNullSafe(v), F.lit(1.0)) for k, v in (("yes", 1), ("no", 0), ("unsure", None))}
     return rows.groupBy(cell.alias("cell")).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in out.items()], *[F.coalesce(F.sum(F.when(edge, c)), F.lit(0.0)).alias(n + "_edge") for n, c in out.items()])
 
 
-def tails(histogram: DataFrame, steps: int = 100, last: int = 49) -> DataFrame:
+def tails(histogram: DataFrame, steps: int = 100, last: int = 49, raw: bool = False) -> DataFrame:
     """Per threshold k / steps: counts, weights and the Hajek risk of both tails, uncertain rows as adverse.
 
     The low tail keeps rows; those labelled 1 are wrong there. The high tail
-    excludes; those labelled 0 are wrong there. The histogram has ``steps`` + 1
+    excludes; those labelled 0 are wrong there. With ``raw`` the unweighted errors
+    of both tails and the ``total`` of rows are added. The histogram has ``steps`` + 1
     rows at most, so the cross join is of two tiny tables.
     """
     grid = histogram.sparkSession.range(1, last + 1).select(F.col("id").alias("k"))
@@ -110,8 +112,10 @@ def tails(histogram: DataFrame, steps: int = 100, last: int = 49) -> DataFrame:
     edge = F.col("cell") == steps - F.col("k")
     up = lambda c: F.when(high, F.col(c)).when(edge, F.col(c + "_edge")).otherwise(0.0)
     down = lambda c: F.when(low, F.col(c)).otherwise(0.0)
-    sums = met.groupBy("k").agg(*[F.sum(f(c)).alias(f"{t}_{c}") for t, f in (("keep", down), ("exclude", up)) for c in ("n", "w", "w2", "yes", "no", "unsure")])
+    sums = met.groupBy("k").agg(*[F.sum(f(c)).alias(f"{t}_{c}") for t, f in (("keep", down), ("exclude", up)) for c in ("n", "w", "w2", "yes", "no", "unsure", "n_yes", "n_no", "n_unsure")], F.sum("n").alias("total"))
+    errors = {"keep_errors": F.col("keep_n_yes") + F.col("keep_n_unsure"), "exclude_errors": F.col("exclude_n_no") + F.col("exclude_n_unsure"), "total": F.col("total")}
     return sums.select(
+        *([c.cast("long").alias(n) for n, c in errors.items()] if raw else []),
         (F.col("k") / steps).alias("t"),
         F.col("keep_n").cast("long").alias("keep_n"), F.try_divide(F.col("keep_yes") + F.col("keep_unsure"), F.col("keep_w")).alias("keep_risk"),
         F.try_divide(F.col("keep_w") * F.col("keep_w"), F.col("keep_w2")).alias("keep_ess"),
@@ -213,10 +217,7 @@ def cluster_bootstrap(rows: DataFrame, component: str, numerator: Column, denomi
     replicates need no shared draw and sums are combined before the shuffle.
     """
     sums = rows.groupBy(component).agg(F.sum(numerator).alias("a"), F.sum(denominator).alias("b"))
-    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("r"), F.col(component)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    weight = sum(((u >= e).cast("int") for e in edges[1:]), (u >= edges[0]).cast("int"))
-    drawn = sums.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("m", weight)
+    drawn = sums.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("m", _poisson(seed, component))
     ratio = drawn.groupBy("r").agg(F.try_divide(F.sum(F.col("a") * F.col("m")), F.sum(F.col("b") * F.col("m"))).alias("x"))
     q = F.percentile("x", F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2)))
     return ratio.agg(q.alias("q"), F.count("x").alias("valid")).select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("median"), F.col("q")[2].alias("upper"), "valid")
@@ -232,6 +233,73 @@ def paired_deltas(rows: DataFrame, base: str, candidate: str, label: str) -> Dat
     return rows.agg((F.avg(loss(candidate)) - F.avg(loss(base))).alias("d_log_loss"), (F.avg(square(candidate)) - F.avg(square(base))).alias("d_brier"), (wrong(candidate) - wrong(base)).alias("d_false_positive"))
 
 
+def paired_bootstrap(rows: DataFrame, component: str, base: str, candidate: str, label: str, replicates: int = 500, seed: int = 0, alpha: float = 0.1) -> DataFrame:
+    """Percentile intervals of the deltas of :func:`paired_deltas` when whole components are drawn again: metric, lower, median, upper, valid.
+
+    Each component is summed once and weighted as in :func:`cluster_bootstrap`.
+    A replicate without negatives has no error rate; with fewer than 95 % valid
+    replicates a metric's interval is null.
+    """
+    y = F.col(label) == 1
+    clip = lambda c: F.greatest(F.least(F.col(c), F.lit(1 - 1e-15)), F.lit(1e-15))
+    loss = lambda c: -F.when(y, F.ln(clip(c))).otherwise(F.ln(1 - clip(c)))
+    square = lambda c: (F.col(c) - F.col(label)) * (F.col(c) - F.col(label))
+    wrong = lambda c: (~y & (F.col(c) >= 0.5)).cast("double")
+    parts = {
+        "d_log_loss": (loss(candidate) - loss(base), F.lit(1.0)), "d_brier": (square(candidate) - square(base), F.lit(1.0)),
+        "d_false_positive": (wrong(candidate) - wrong(base), (~y).cast("double")),
+    }
+    sums = rows.groupBy(component).agg(*[F.sum(x).alias(f"{m}_{k}") for m, pair in parts.items() for k, x in enumerate(pair)])
+    drawn = sums.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("m", _poisson(seed, component))
+    ratio = lambda m: F.try_divide(F.sum(F.col(f"{m}_0") * F.col("m")), F.sum(F.col(f"{m}_1") * F.col("m")))
+    each = drawn.groupBy("r").agg(*[ratio(m).alias(m) for m in parts])
+    long = each.select(F.explode(F.create_map(*[x for m in parts for x in (F.lit(m), F.col(m))])).alias("metric", "x"))
+    q = F.percentile("x", F.array(F.lit(alpha / 2), F.lit(0.5), F.lit(1 - alpha / 2)))
+    out = long.groupBy("metric").agg(q.alias("q"), F.count("x").alias("valid"))
+    enough = F.col("valid") >= 0.95 * replicates
+    return out.select("metric", *[F.when(enough, F.col("q")[k]).alias(n) for k, n in enumerate(("lower", "median", "upper"))], "valid")
+
+
+def _poisson(seed: int, component: str) -> Column:
+    """A Poisson(1) weight of a component in replicate ``r``, from its hash."""
+    edges = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("r"), F.col(component)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return sum(((u >= e).cast("int") for e in edges[1:]), (u >= edges[0]).cast("int"))
+
+
+def strategy_points(population: DataFrame, sample: DataFrame, audit: DataFrame, limits: tuple[float, float] = (0.05, 0.02), support: int = 30, workload: float = 0.5) -> DataFrame:
+    """Every pair of thresholds with what it does to the population, and what a weighted sample and an audit say of its risk.
+
+    The arguments are rows of :func:`tails` with ``raw``. Each tail has, of
+    sample and audit, its rows, raw errors and risk, weighted risk, effective
+    size and the exact one-sided limit of the raw risk; ``limit`` is the larger
+    one. A tail passes with enough support and its limit within ``limits``; a
+    point passes if both tails do and the manual share is at most ``workload``.
+    """
+    sides = []
+    for side, worst in zip(("keep", "exclude"), limits):
+        table = population.select("t", F.col(f"{side}_n").alias(f"{side}_population"), *(["total"] if side == "keep" else []))
+        for name, rows in (("sample", sample), ("audit", audit)):
+            n, errors = F.col(f"{side}_n"), F.col(f"{side}_errors")
+            told = {"n": n, "errors": errors, "raw_risk": F.try_divide(errors, n), "risk": F.col(f"{side}_risk"), "ess": F.col(f"{side}_ess"), "limit": _upper_limit(errors, n)}
+            table = table.join(rows.select("t", *[c.alias(f"{side}_{name}_{k}") for k, c in told.items()]), "t")
+        limit = F.greatest(f"{side}_sample_limit", f"{side}_audit_limit")
+        fine = (F.col(f"{side}_sample_n") >= support) & F.coalesce(limit <= worst, F.lit(False))
+        sides.append(table.withColumns({f"{side}_limit": limit, f"{side}_passes": fine}).withColumnRenamed("t", f"t_{side}"))
+    keep, drop = sides
+    grid = keep.crossJoin(F.broadcast(drop.withColumn("t_exclude", F.bround(1 - F.col("t_exclude"), 2))))  # thresholds against thresholds
+    manual = F.col("total") - F.col("keep_population") - F.col("exclude_population")
+    grid = grid.withColumns({"manual": manual, "manual_rate": manual / F.col("total"), "workload_passes": manual / F.col("total") <= workload})
+    return grid.withColumn("passes", F.col("keep_passes") & F.col("exclude_passes") & F.col("workload_passes"))
+
+
+def _upper_limit(events: Column, n: Column, confidence: float = 0.95) -> Column:
+    def bound(e: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([clopper_pearson(int(x), int(y), confidence) for x, y in zip(e, m)], dtype="float64")
+
+    return F.pandas_udf(bound, "double")(events, n)
+
+
 def acceptance(deltas: DataFrame) -> DataFrame:
     """The point gates of a candidate, and whether all hold."""
     gates = deltas.select("*", (F.col("d_false_positive") <= 0).alias("gate_errors"), (F.col("d_log_loss") <= -0.01).alias("gate_log_loss"), (F.col("d_brier") <= 0).alias("gate_brier"))

@@ -77,6 +77,36 @@ def grid(spark, sf):
 
 
 add("route_grid", lambda s, d: rounded(grid(s, d)), f"with {GRID} select t_keep, keep_n, round(keep_risk, 9) as keep_risk, t_exclude, exclude_n, round(exclude_risk, 9) as exclude_risk, round(manual_rate, 9) as manual_rate, passes from grid")
+
+
+def strategy(spark, sf):
+    """All labelled documents as the population, every other one as the sample, the rest as the audit."""
+    rows = scored(spark, sf).drop("label").withColumnRenamed("sure", "label")
+    told = lambda part: metrics.tails(metrics.threshold_histogram(part, "pa", F.col("w")), raw=True)
+    return metrics.strategy_points(told(rows), told(rows.filter("doc_id % 2 = 0")), told(rows.filter("doc_id % 2 = 1")), (0.95, 0.3), 10)
+
+
+def _side(side: str, where: str, wrong: str) -> str:
+    at = f"p {where}"
+    each = "".join(
+        f", count(*) filter (where {at} and doc_id % 2 = {k}) as {side}_{name}_n, count(*) filter (where {at} and doc_id % 2 = {k} and (sure = {wrong} or sure is null)) as {side}_{name}_errors,"
+        f" coalesce(sum(w) filter (where {at} and doc_id % 2 = {k} and (sure = {wrong} or sure is null)), 0) / sum(w) filter (where {at} and doc_id % 2 = {k}) as {side}_{name}_risk,"
+        f" sum(w) filter (where {at} and doc_id % 2 = {k}) ** 2 / sum(w * w) filter (where {at} and doc_id % 2 = {k}) as {side}_{name}_ess"
+        for k, name in enumerate(("sample", "audit"))
+    )
+    return f"select t, count(*) filter (where {at}) as {side}_population{each} from r, k group by t"
+
+
+_RISKS = [f"{side}_{name}_{c}" for side in ("keep", "exclude") for name in ("sample", "audit") for c in ("risk", "ess")]
+add(
+    "route_strategy_points",
+    lambda s, d: rounded(strategy(s, d).drop(*[f"{side}_{name}_{c}" for side in ("keep", "exclude") for name in ("sample", "audit") for c in ("raw_risk", "limit")], "keep_limit", "exclude_limit", "keep_passes", "exclude_passes", "passes")),
+    f"""with {SCORED}, r as (select *, round(pa, 11) as p from scored), k as (select unnest(generate_series(1, 49)) / 100 as t), a as ({_side("keep", "<= t", "1")}), b as ({_side("exclude", ">= round(1 - t, 2)", "0")}), n as (select count(*) as total from scored)
+      select a.t as t_keep, round(1 - b.t, 2) as t_exclude, * exclude (t) replace ({", ".join(f"round({c}, 9) as {c}" for c in _RISKS)}), total - keep_population - exclude_population as manual, round((total - keep_population - exclude_population) / total, 9) as manual_rate,
+      (total - keep_population - exclude_population) / total <= 0.5 as workload_passes from a, b, n""",
+)
+add("route_strategy_gates", lambda s, d: rounded(strategy(s, d).select("t_keep", "t_exclude", "keep_sample_limit", "keep_audit_limit", "keep_limit", "exclude_limit", "keep_passes", "exclude_passes", "passes")))
+add("eval_paired_bootstrap", lambda s, d: metrics.paired_bootstrap(scored(s, d), "source", "pa", "pb", "label"))
 FRONT = "points as (select t_keep, t_exclude, round(keep_risk, 6) as kr, round(exclude_risk, 6) as er, round(manual_rate, 6) as mr from grid where keep_risk is not null and exclude_risk is not null)"
 add(
     "route_pareto",

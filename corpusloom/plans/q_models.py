@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import values
-from corpusloom.operators import duplicates, models
+from corpusloom.operators import duplicates, models, neighbours
 from corpusloom.streaming import incremental
 
 from .q_corpus import near_texts, table
@@ -84,13 +84,9 @@ add(
 
 
 def _neighbours(spark, sf, k=5):
-    """The nearest vectors of a stated query set, in one pass over all vectors; each task keeps k per query."""
-    rows = table(spark, sf, "embeddings").select("vec_id", values.unit(F.col("embedding")).alias("u"))
-    queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("u").alias("q"))
-    met = rows.join(F.broadcast(queries) if queries.count() <= 10_000 else queries, F.col("vec_id") != F.col("query"))
-    near = met.select("query", F.struct((-F.round(values.dot(F.col("u"), F.col("q")), 6)).alias("d"), F.col("vec_id").alias("neighbour")).alias("x"))
-    best = near.groupBy("query", F.pmod(F.xxhash64("x.neighbour"), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("x"))
-    return best.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, k).alias("x")).select("query", F.posexplode("x").alias("place", "x")).select("query", F.col("x.neighbour").alias("neighbour"), (F.col("place") + 1).cast("long").alias("place"))
+    """Queries are the rows whose id is divisible by 50, against all rows."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("id"), values.unit(F.col("embedding")).alias("u"))
+    return neighbours.nearest(rows, rows.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("u").alias("q")), k)
 
 
 def _history(spark, sf):

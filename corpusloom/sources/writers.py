@@ -23,9 +23,14 @@ def write_bytes(spark: SparkSession, path: str, data: bytes, replace: bool = Fal
     out = files.create(aside, True)
     out.write(bytearray(data))
     out.close()
-    if replace:
-        files.delete(target, False)
-    if not files.rename(aside, target):
+    if replace:  # one step, so that a reader finds the old file or the new one
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(files.makeQualified(aside), files.makeQualified(target), options)
+    elif not files.rename(aside, target):
         files.delete(aside, False)
         raise FileExistsError(path)
 

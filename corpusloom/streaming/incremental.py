@@ -55,12 +55,15 @@ def score_arrivals(spark: SparkSession, source: str, schema: str, score: Callabl
     """Scores CSV files that have arrived and stops; a later call takes only new ones.
 
     Each micro-batch is written under its own number, so one that is run again
-    after a failure replaces its rows. Repeated keys within a batch fail it.
+    after a failure replaces its rows. A key that repeats, within a batch or
+    from an earlier one, fails the batch; the keys stand beside the scores.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        twice = batch.groupBy(key.alias("k")).count().filter("count > 1").limit(1).count()
-        if twice:
+        keys = batch.groupBy(key.alias("k")).count()
+        keys.select("k").write.mode("overwrite").parquet(f"{sink}.keys/batch={number}")
+        known = batch.sparkSession.read.parquet(f"{sink}.keys").filter(F.col("batch") != number)
+        if not keys.filter("count > 1").isEmpty() or not keys.join(known, "k", "left_semi").isEmpty():
             raise ValueError(f"batch {number} repeats a key")
         score(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 

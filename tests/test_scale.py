@@ -109,3 +109,43 @@ def test_unstage(spark):
     unstage(table)
     with pytest.raises(Exception):
         spark.read.parquet(table.staged_path)
+
+
+def test_neighbours(spark, monkeypatch):
+    import numpy as np
+
+    from corpusloom.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    u = rng.integers(-2, 3, (60, 3)).astype(float)  # many ties
+    rows = spark.createDataFrame([(i, u[i].tolist()) for i in range(60)], "id bigint, u array<double>").repartition(5)
+    queries = rows.filter("id % 7 = 0").selectExpr("id as query", "u as q")
+    want = sorted((q, n, k + 1) for q in range(0, 60, 7) for k, n in enumerate(sorted((i for i in range(60) if i != q), key=lambda i: (-(u[q] @ u[i]), i))[:4]))
+    assert sorted(tuple(r) for r in neighbours.nearest(rows, queries, 4).collect()) == want
+    monkeypatch.setattr(neighbours, "BLOCK", 2)
+    assert sorted(tuple(r) for r in neighbours.nearest(rows, queries, 4).collect()) == want
+    assert neighbours.nearest(rows, queries.limit(0), 4).count() == 0
+
+
+def test_strategy_limits(spark):
+    from corpusloom.operators import metrics
+    from corpusloom.plans import q_eval
+
+    out = q_eval.strategy(spark, "/root/testdata/sf0.01").filter("t_keep in (0.1, 0.4) and t_exclude in (0.6, 0.9)").collect()
+    assert len(out) == 4
+    for r in out:
+        for side, worst in (("keep", 0.95), ("exclude", 0.3)):
+            limits = [metrics.clopper_pearson(r[f"{side}_{n}_errors"], r[f"{side}_{n}_n"]) for n in ("sample", "audit")]
+            assert [r[f"{side}_sample_limit"], r[f"{side}_audit_limit"]] == pytest.approx(limits) and r[f"{side}_limit"] == pytest.approx(max(limits))
+            assert r[f"{side}_passes"] == (r[f"{side}_sample_n"] >= 10 and max(limits) <= worst)
+        assert r.passes == (r.keep_passes and r.exclude_passes and r.workload_passes)
+
+
+def test_paired_bootstrap(spark):
+    from corpusloom.operators import metrics
+
+    rows = [(i, i % 60, i % 2, 0.5 + (0.3 if i % 2 else -0.3), 0.5 + (0.4 if i % 2 else -0.4)) for i in range(600)]
+    out = {r.metric: r for r in metrics.paired_bootstrap(spark.createDataFrame(rows, "id int, c int, y int, a double, b double"), "c", "a", "b", "y", 200).collect()}
+    assert out["d_brier"].upper < 0 and out["d_log_loss"].upper < 0 and out["d_false_positive"].median == 0 and out["d_brier"].valid == 200
+    none = spark.createDataFrame([(1, 1, 0.4, 0.6)], "c int, y int, a double, b double")
+    assert {r.metric for r in metrics.paired_bootstrap(none, "c", "a", "b", "y", 50).collect() if r.lower is None} >= {"d_false_positive"}
