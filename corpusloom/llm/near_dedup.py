@@ -44,7 +44,7 @@ from .shared import read_table, stage, unstage
 #: LEAF: texts outside a node's largest tied group that are compared exhaustively.
 COORDINATES, STEP, LEAF = 128, 4, 2048
 #: Texts, and bytes of whole texts, in a block, about (a longer text is a block of its own).
-BLOCK, BLOCK_BYTES = 2048, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: After so many rounds of branching the nodes that are left are compared in blocks, whatever their size.
 ROUNDS = 4
 #: Bound on the independent repeats of a node's branching, for aims that the trees only just meet.
