@@ -73,6 +73,18 @@ def test_global_split(spark):
     assert {r.y for r in out.filter("split = 'validation'").collect()} == {0, 1}
 
 
+def test_global_split_without_folds(spark):
+    split = lambda rows, **more: sampling.global_split(spark.createDataFrame(rows, "t int, c int, y int"), "t", F.col("t"), "c", "y", 0.05, 0.2, **more)
+    everywhere = [(i, i % 10, int(i % 3 == 0)) for i in range(400)]  # the latest 20 touch all components
+    assert [tuple(r) for r in split(everywhere).groupBy("split").count().collect()] == [("test", 400)]
+    one_left = [(i, i % 10 if i < 380 else i % 9, int(i % 3 == 0)) for i in range(400)]
+    out = split(one_left)
+    assert {r.c for r in out.filter("split = 'train'").collect()} == {9} and {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"test": 362, "train": 38}
+    for rows in (everywhere, one_left):
+        with pytest.raises(ValueError):
+            split(rows, strict=True)
+
+
 def test_audit_short(spark):
     rows = spark.createDataFrame([(i, "keep" if i % 2 else "exclude") for i in range(10)], "k int, action string")
     assert sampling.audit_sample(rows, 5, "a", "k", ("keep", "exclude")).count() == 10
