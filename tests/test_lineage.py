@@ -85,6 +85,23 @@ def test_global_split_without_folds(spark):
             split(rows, strict=True)
 
 
+def test_split_query_without_folds(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import registry
+
+    registry.load()
+    con = duckdb.connect()
+    # The latest 5 % of the labelled rows touch all components but one, or all.
+    for case, latest in (("one", 49), ("all", 50)):
+        spark.range(1100).filter(f"id < 1000 or id % 50 < {latest}").selectExpr("id as doc_id", "'t' as text", "'s' as source", "'en' as lang").coalesce(1).write.parquet(f"{tmp_path}/{case}/documents.parquet")
+        spark.range(1100).selectExpr("id as doc_id", "id % 3 % 2 as quality", "0 as toxic").coalesce(1).write.parquet(f"{tmp_path}/{case}/labels.parquet")
+        for t in ("documents", "labels"):
+            con.sql(f"create or replace view {t} as select * from '{tmp_path}/{case}/{t}.parquet/*.parquet'")
+        got = sorted(tuple(r) for r in registry.QUERIES["split_global_test"](spark, f"{tmp_path}/{case}").collect())
+        assert got == sorted(con.sql(registry.SQL["split_global_test"]).fetchall()) and len({c for _, c in got}) == latest
+
+
 def test_audit_short(spark):
     rows = spark.createDataFrame([(i, "keep" if i % 2 else "exclude") for i in range(10)], "k int, action string")
     assert sampling.audit_sample(rows, 5, "a", "k", ("keep", "exclude")).count() == 10
