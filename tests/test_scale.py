@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,29 @@ def test_paired_bootstrap(spark):
     assert out["d_brier"].upper < 0 and out["d_log_loss"].upper < 0 and out["d_false_positive"].median == 0 and out["d_brier"].valid == 200
     none = spark.createDataFrame([(1, 1, 0.4, 0.6)], "c int, y int, a double, b double")
     assert {r.metric for r in metrics.paired_bootstrap(none, "c", "a", "b", "y", 50).collect() if r.lower is None} >= {"d_false_positive"}
+
+
+def test_near_pairs_by_sketch(spark, monkeypatch):
+    """All pairs at the threshold, with their cosines, without a table of the texts' n-grams or of vectors."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    rows = []
+    for k in range(24):
+        base = rng.choices(words, k=150)
+        for c in range(6):  # copies with more and more other words, around the threshold
+            rows.append((10 * k + c, " ".join(rng.choice(words) if rng.random() < 0.04 * c else w for w in base)))
+    rows += [(1000, "a short text"), (1001, "a short text!"), (1002, None)]
+    counts = {i: collections.Counter(t[k : k + n] for n in (3, 4, 5) for k in range(len(t) - n + 1)) for i, t in rows if t}
+    df = collections.Counter(g for c in counts.values() for g in c)
+    idf = {g: np.log((1 + len(counts)) / (1 + n)) + 1 for g, n in df.items() if 2 <= n <= int(0.995 * len(counts))}
+    vectors = {i: {g: (1 + np.log(n)) * idf[g] for g, n in c.items() if g in idf} for i, c in counts.items()}
+    length = {i: sum(w * w for w in v.values()) ** 0.5 for i, v in vectors.items()}
+    cosine = {(a, b): sum(w * vectors[b].get(g, 0) for g, w in vectors[a].items()) / (length[a] * length[b]) for a in vectors for b in vectors if a < b}
+    staged = []
+    monkeypatch.setattr(duplicates, "stage", lambda df, label, *a, **b: (staged.append(label), stage(df, label, *a, **b))[1])
+    table = spark.createDataFrame(rows, "id int, text string")
+    found = {(r.left, r.right): r.similarity_ppm for r in duplicates.near_pairs(table).collect()}
+    candidates = {(r.left, r.right) for r in duplicates.blocked_pairs(duplicates.blocking_keys(table.filter("length(text) >= 3"))).collect()}
+    want = {p: cosine[p] for p in candidates if cosine[p] >= 0.8}
+    assert 20 < len(want) < len(candidates) and found.keys() == want.keys() and all(abs(found[p] - 1e6 * c) <= 1 for p, c in want.items())
+    assert "near-sketches" in staged and not {"term-weights", "vectors", "gram-counts"} & set(staged)
