@@ -24,8 +24,6 @@ from .shared import read_table, stage
 
 ORDER = 4
 DISCOUNT = 0.75
-#: The most frequent n-grams kept of a language, about (all with the least count kept or none); it bounds the model, not the texts counted.
-GRAMS = 100_000
 _letters: list[np.ndarray] = []
 
 
@@ -56,52 +54,66 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), first, np.array(counts, np.int64)
 
 
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """One hash for each row of characters, as :meth:`Models.cross_entropies` makes them."""
+    h = np.zeros(len(codes), U)
+    for j in range(codes.shape[1]):
+        h = mix(h * U(31) + codes[:, j].astype(U) + U(1))
+    return h
+
+
+def _rows_of(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes sorted keys have, and the rows of values there."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[at] == asked, values[at]
+
+
 class Models:
-    """Kneser-Ney models from counts of ORDER-grams: (language, n-gram, count) triples."""
+    """Kneser-Ney models from counts of ORDER-grams: by language, n-gram to count, or an array of n-grams (rows of codes) and one of counts."""
 
-    def __init__(self, counts: dict[str, dict[str, int]]):
+    def __init__(self, counts: dict):
         self.languages = sorted(counts)
         width = len(self.languages)
-        alphabet = sorted({c for grams in counts.values() for g in grams for c in g})
-        tables, back = [], []  # by order: n-gram -> log-probabilities; context -> log of the mass left to lower orders
+        held = []
+        for language in self.languages:
+            own = counts[language]
+            if isinstance(own, dict):
+                own = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, ORDER), np.fromiter(own.values(), np.int64, len(own))
+            held.append(own)
+        alphabet = len(np.unique(np.concatenate([np.zeros(0, np.uint32), *[np.unique(codes) for codes, _ in held]])))
+        self.unseen = np.float32(np.log(1 / (alphabet + 1)))
+        self.arrays = []
+        lower = None  # keys and probabilities of the order below
         for n in range(1, ORDER + 1):
-            table: dict[str, np.ndarray] = {}
-            left: dict[str, np.ndarray] = {}
-            for column, language in enumerate(self.languages):
+            grams, columns = [], []  # by language: different n-grams, and their hashes, shares and contexts
+            for codes, times in held:
                 # The highest order takes counts; the others the number of different characters before.
-                own: dict[str, int] = {}
                 if n == ORDER:
-                    own = counts[language]
+                    own, c = codes, times.astype(np.float64)
                 else:
-                    for g in {g[ORDER - n - 1 :] for g in counts[language]}:
-                        own[g[1:]] = own.get(g[1:], 0) + 1
-                total: dict[str, int] = {}
-                kinds: dict[str, int] = {}
-                for g, c in own.items():
-                    total[g[:-1]] = total.get(g[:-1], 0) + c
-                    kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-                for h, t in total.items():
-                    left.setdefault(h, np.ones(width))[column] = DISCOUNT * kinds[h] / t
-                for g, c in own.items():
-                    table.setdefault(g, np.zeros(width))[column] = (c - DISCOUNT) / total[g[:-1]]
-            for g, p in table.items():
-                lower = tables[-1].get(g[1:], 1 / (len(alphabet) + 1)) if tables else 1 / (len(alphabet) + 1)
-                p += left[g[:-1]] * lower
-            tables.append(table)
-            back.append(left)
-        self.unseen = np.float32(np.log(1 / (len(alphabet) + 1)))
-        self.arrays = []
-        for n, (table, left) in enumerate(zip(tables, back), 1):
-            grams, contexts = sorted(table), sorted(left)
-            pair = []
-            for names, of, k in ((grams, table, n), (contexts, left, n - 1)):
-                codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).reshape(len(names), k)
-                h = np.zeros(len(names), U)
-                for j in range(k):
-                    h = mix(h * U(31) + codes[:, j].astype(U) + U(1))
-                order = np.argsort(h)
-                pair += [h[order], np.log(np.array([of[x] for x in names]).reshape(len(names), width))[order].astype(np.float32)]
-            self.arrays.append(tuple(pair))
+                    longer = codes[:, ORDER - n - 1 :]
+                    own = longer[np.unique(_hashes(longer), return_index=True)[1]][:, 1:]
+                    _, first, c = np.unique(_hashes(own), return_index=True, return_counts=True)
+                    own = own[first]
+                contexts, of, kinds = np.unique(_hashes(own[:, :-1]), return_inverse=True, return_counts=True)
+                total = np.bincount(of, c, len(contexts))
+                grams.append(own)
+                columns.append((_hashes(own), (c - DISCOUNT) / total[of], contexts, DISCOUNT * kinds / total))
+            own = np.concatenate(grams) if grams else np.zeros((0, n), np.uint32)
+            keys, first = np.unique(np.concatenate([np.zeros(0, U), *[x[0] for x in columns]]), return_index=True)
+            contexts = np.unique(np.concatenate([np.zeros(0, U), *[x[2] for x in columns]]))
+            table, left = np.zeros((len(keys), width)), np.ones((len(contexts), width))
+            for k, (h, share, context, mass) in enumerate(columns):
+                table[np.searchsorted(keys, h), k] = share
+                left[np.searchsorted(contexts, context), k] = mass
+            below = np.full((len(keys), width), 1 / (alphabet + 1))
+            if lower is not None and len(keys):
+                hit, values = _rows_of(*lower, _hashes(own[first][:, 1:]))
+                below[hit] = values[hit]
+            if len(keys):
+                table += left[np.searchsorted(contexts, _hashes(own[first][:, :-1]))] * below
+            lower = keys, table
+            self.arrays.append((keys, np.log(table).astype(np.float32), contexts, np.log(left).astype(np.float32)))
 
     def cross_entropies(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Nats per character, a row per text and a column per language (0 for texts without characters)."""
@@ -189,8 +201,8 @@ def fit(docs: DataFrame, learn: Column, sample: int = 300, quantile: float = 0.9
     most, give the scale of the score (the one of some with the highest
     likelihood of the right answers) and, per language, the cross-entropy that
     the share ``quantile`` of its texts stays below. All others give the counts,
-    of which the ``GRAMS`` most frequent are kept. If no others are left, all
-    give counts. Without a labelled text the model is empty.
+    of which every one is kept. If no others are left, all give counts. Without
+    a labelled text the model is empty.
     """
     learned = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     per = {r[0]: r[1] for r in learned.groupBy(lang_col).count().collect()}  # a row per language
@@ -204,24 +216,11 @@ def fit(docs: DataFrame, learn: Column, sample: int = 300, quantile: float = 0.9
     counted = texts if texts.filter("not held").isEmpty() else texts.filter("not held")
     grams = counted.select("text", "lang").mapInArrow(_count_grams, "lang string, gram string, n bigint")
     grams = stage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "langid-grams")
-    # Counts by size, in classes of a factor of two from 1000 on, tell from which count on a language's n-grams fit.
-    level = F.when(F.col("n") < 1000, F.col("n")).otherwise(1000 * F.pow(2, F.floor(F.log2(F.col("n") / 1000)))).cast("long")
-    many: dict[str, dict[int, int]] = {}
-    for lang, n, m in grams.groupBy("lang", level.alias("level")).count().collect():
-        many.setdefault(lang, {})[n] = m
-    least = {}
-    for lang, own in many.items():
-        total = 0
-        for n in sorted(own, reverse=True):
-            total += own[n]
-            if lang in least and total > GRAMS:
-                break
-            least[lang] = n
-    counts: dict[str, dict[str, int]] = {}
-    kept = grams.filter(F.col("n") >= F.create_map(*[F.lit(v) for x in least.items() for v in x])[F.col("lang")]) if least else grams
-    table = kept.toArrow()  # bounded by GRAMS
-    for lang, gram, n in zip(*[table.column(c).to_pylist() for c in ("lang", "gram", "n")]):
-        counts.setdefault(lang, {})[gram] = n
+    table = grams.toArrow()  # the model's own n-grams, each once: as many as the languages have, not as the texts
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    codes = np.frombuffer("".join(table.column("gram").to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    times, number = table.column("n").to_numpy(), langs.indices.to_numpy()
+    counts = {lang: (codes[number == k], times[number == k]) for k, lang in enumerate(langs.dictionary.to_pylist())}
     models = Models(counts)
     plain = models.dump({})
     held = [(r.id, r.nats) for r in _scored(drawn, plain).filter("has_letter").collect()]

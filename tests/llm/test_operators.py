@@ -411,6 +411,15 @@ def test_langid_counts_all(spark):
     assert len(models.arrays[3][0]) >= 0.9 * len(grams)
 
 
+def test_langid_keeps_all(spark):
+    """No n-gram is dropped where a language has many, those seen once among them."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)), "aa") for i in range(900)]
+    models, _ = langid.Models.load(langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), sample=2))
+    grams = {("   " + t)[i : i + 4] for _, t, _ in rows for i in range(200)}
+    assert len(models.arrays[3][0]) >= 0.98 * len(grams) > 120_000
+
+
 def test_langid_unlearned(odd, none):
     assert langid.fit(none, F.lit(True)) == b""
     assert {(r.lang_pred, r.score) for r in langid.identify(odd, b"").collect()} == {("und", 0.0)}
