@@ -36,8 +36,10 @@ from .shared import read_table, stage
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and words per bucket; a task holds one of either at a time.
 CHUNK_BYTES, BUCKET_WORDS = 1 << 20, 250_000
-#: Tasks of a shuffle at most; beyond, a task takes several buckets, one after another.
-TASKS = 1 << 14
+#: Buckets that a task takes, one after another, and tasks of a shuffle at most; beyond, a task takes more. Each task writes a
+#: file, and Hadoop without its native library starts a process for each file it makes on a local disk (three per file here),
+#: which shows as large as the executor until it runs its own program.
+TASK_BUCKETS, TASKS = 32, 1 << 14
 _FINGER = 30
 _NULL_ID = np.iinfo(np.int64).max
 
@@ -238,7 +240,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     chunks = stage(rows.mapInArrow(_pack, "chunk bigint, words bigint, ids array<bigint>, lengths array<bigint>, blob binary"), "substring-chunks", "none")
     words = chunks.agg(F.sum("words")).first()[0] or 0
     bits = max(7, math.ceil(math.log2(max(1, words / BUCKET_WORDS))))
-    tasks = min(TASKS, 1 << max(6, bits - 2))
+    tasks = min(TASKS, max(docs.sparkSession.sparkContext.defaultParallelism, (1 << bits) // TASK_BUCKETS))
 
     def probe(batches):
         for row in _rows(batches):

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import brute
-from corpusloom.llm import bpe, chat, exact_dedup, host_quality, langid, mixing, near_dedup, registry, sharding, substring_dedup, toxicity
+from corpusloom.llm import bpe, chat, exact_dedup, host_quality, langid, mixing, near_dedup, registry, sharding, shared, substring_dedup, toxicity
 from corpusloom.llm.kernel import Words, piece_codes, piece_hashes, slices
 from helpers import duck, same
 
@@ -136,6 +136,24 @@ def test_substring_odd(odd, none):
     assert out[6, 60_000].n_removed == 60_000 - 997 - 19 + 19 and substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_files(spark, docs, monkeypatch):
+    """Many buckets take few tasks, and so few files: a process starts for each file on a local disk."""
+    files = {}
+
+    def counted(df, label, *args, **more):
+        table = shared.stage(df, label, *args, **more)
+        files[label] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(substring_dedup, "stage", counted)
+    monkeypatch.setattr(substring_dedup, "BUCKET_WORDS", 1_000)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert got(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.repeats(rows), key=repr)
+    buckets = 2 * sum(len((t or "").split()) for _, t in rows) // 1_000
+    few = max(spark.sparkContext.defaultParallelism, buckets // 32)
+    assert buckets > 2 * few and 0 < files["substring-hits"] <= few and 0 < files["substring-later"] <= few
+
+
 # op3
 
 
